@@ -6,15 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import language_id, mixing
+from eventloom.llm import exact_dedup, language_id, line_dedup, mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": line_dedup.query,
         "op3_mix_sources": mixing.query,
+        "op5_exact_dedup": exact_dedup.query,
         "op10_language_id": language_id.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.ORACLE}
+    return {
+        "op1_line_dedup": line_dedup.ORACLE,
+        "op3_mix_sources": mixing.ORACLE,
+        "op5_exact_dedup": exact_dedup.ORACLE,
+    }
