@@ -36,7 +36,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Groups in which pieces of one length are numbered, and rows a group is meant for beyond that.
 SALTS, ROWS_PER_SALT = 64, 1 << 20
 #: Entries of a worker's cache from a stretch of text to its ids, and the longest stretch that it keeps.
-CACHE, LONGEST = 400_000, 48
+CACHE, LONGEST = 800_000, 48
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -63,6 +63,8 @@ class Encoder:
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.meeting = re.compile(r"\s |\x20\s")
         self.known: dict[str, bytes] = {}
+        # Every character of a byte-level token stands for one byte.
+        self.bytes_of = np.array([len(self.tokenizer.id_to_token(i)) for i in range(self.tokenizer.get_vocab_size())])
 
     def stretches(self, text: str) -> list[str]:
         if self.meeting.search(text):
@@ -70,6 +72,22 @@ class Encoder:
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
 
+    def encoded(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each stretch with its ids. Those that keep apart when joined are encoded as one text, whose tokens' lengths tell where each ends."""
+        alone = [x for x in new if len(x) < 2 or x[0] != " " or x[1].isspace() or x[-1].isspace()]
+        for x, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            yield x, np.array(e.ids, "<u4").tobytes()
+        left = set(alone)
+        joined = [x for x in new if x not in left]
+        for i in range(0, len(joined), 1024):
+            part = joined[i : i + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(x.encode()) for x in part])) + 1
+            data, at = ids.tobytes(), 0
+            for x, end in zip(part, (4 * ends).tolist(), strict=True):
+                yield x, data[at:end]
+                at = end
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         if len(self.known) > CACHE:
@@ -77,10 +95,8 @@ class Encoder:
         cut = [self.stretches(t) for t in texts]
         extra: dict[str, bytes] = {}
         new = [x for x in {x for c in cut for x in c} if x not in self.known]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (self.known if len(x) <= LONGEST else extra)[x] = np.array(e.ids, "<u4").tobytes()
+        for x, ids in self.encoded(new):
+            (self.known if len(x) <= LONGEST else extra)[x] = ids
         get = self.known if not extra else {**self.known, **extra}
         return [b"".join(map(get.__getitem__, c)) for c in cut]
 
