@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import exact_dedup, language_id, line_dedup, mixing, packing, substring_dedup
+from eventloom.llm import exact_dedup, language_id, line_dedup, mixing, packing, pii, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": line_dedup.query,
+        "op2_pii": pii.query,
         "op3_mix_sources": mixing.query,
         "op5_exact_dedup": exact_dedup.query,
         "op7_best_fit_packing": packing.query,
