@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import exact_dedup, language_id, line_dedup, mixing, packing, pii, substring_dedup
+from eventloom.llm import exact_dedup, language_id, line_dedup, mixing, packing, pii, quality, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": line_dedup.query,
         "op2_pii": pii.query,
         "op3_mix_sources": mixing.query,
+        "op4_quality": quality.query,
         "op5_exact_dedup": exact_dedup.query,
         "op7_best_fit_packing": packing.query,
         "op8_substring_dedup": substring_dedup.query,
