@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import exact_dedup, language_id, line_dedup, mixing, packing, pii, quality, substring_dedup
+from eventloom.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, pii, quality, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mix_sources": mixing.query,
         "op4_quality": quality.query,
         "op5_exact_dedup": exact_dedup.query,
+        "op6_jaccard_join": jaccard_join.query,
         "op7_best_fit_packing": packing.query,
         "op8_substring_dedup": substring_dedup.query,
         "op10_language_id": language_id.query,
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_line_dedup": line_dedup.ORACLE,
         "op3_mix_sources": mixing.ORACLE,
         "op5_exact_dedup": exact_dedup.ORACLE,
+        "op6_jaccard_join": jaccard_join.ORACLE,
     }
