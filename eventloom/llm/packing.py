@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +36,19 @@ END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 #: Groups in which pieces of one length are numbered, and rows a group is meant for beyond that.
 SALTS, ROWS_PER_SALT = 64, 1 << 20
-#: Entries of a worker's cache from a stretch of text to its ids, and the longest stretch that it keeps.
-CACHE, LONGEST = 800_000, 48
+#: Entries of each half of a worker's cache from a stretch of text to its ids, and the longest stretch that it keeps.
+CACHE, LONGEST = 650_000, 48
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself where it is printable in Latin-1, else the next one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
     """Token ids of whole texts, equal to the tokenizer's own, by stretches.
 
@@ -63,8 +71,9 @@ class Encoder:
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.meeting = re.compile(r"\s |\x20\s")
         self.known: dict[str, bytes] = {}
-        # Every character of a byte-level token stands for one byte.
-        self.bytes_of = np.array([len(self.tokenizer.id_to_token(i)) for i in range(self.tokenizer.get_vocab_size())])
+        self.older: dict[str, bytes] = {}
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = byte_letters()
 
     def stretches(self, text: str) -> list[str]:
         if self.meeting.search(text):
@@ -72,29 +81,33 @@ class Encoder:
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
 
-    def encoded(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Each stretch with its ids. Those that keep apart when joined are encoded as one text, whose tokens' lengths tell where each ends."""
-        alone = [x for x in new if len(x) < 2 or x[0] != " " or x[1].isspace() or x[-1].isspace()]
-        for x, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            yield x, np.array(e.ids, "<u4").tobytes()
-        left = set(alone)
-        joined = [x for x in new if x not in left]
-        for i in range(0, len(joined), 1024):
-            part = joined[i : i + 1024]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(x.encode()) for x in part])) + 1
-            data, at = ids.tobytes(), 0
-            for x, end in zip(part, (4 * ends).tolist(), strict=True):
-                yield x, data[at:end]
-                at = end
+    def part(self, part: str) -> bytes:
+        """The ids of a stretch that the pattern doesn't cut: straight from the tokenizer's merges, in the letters that stand for bytes there."""
+        letters = part.replace(" ", "\u0120") if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merge(letters)]).tobytes()
+
+    def encoded(self, new: set[str]) -> Iterator[tuple[str, bytes]]:
+        """Each stretch with its ids."""
+        known, part = self.known, self.part
+        for x in new:
+            word = x[:-1]
+            if x[1:].isalpha() and x[0] == " ":
+                yield x, part(x)
+            elif x[-1:] in (".", ",") and word[1:].isalpha() and word[0] == " ":  # the pattern cuts before the mark
+                yield x, (known.get(word) or part(word)) + part(x[-1])
+            else:
+                yield x, b"".join(map(part, self.pattern.findall(x)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        if len(self.known) > CACHE:
-            self.known.clear()
+        if len(self.known) > CACHE:  # what is still used comes back from the older half
+            self.known, self.older = {}, self.known
         cut = [self.stretches(t) for t in texts]
         extra: dict[str, bytes] = {}
-        new = [x for x in {x for c in cut for x in c} if x not in self.known]
+        new = {x for c in cut for x in c} - self.known.keys()
+        again = new & self.older.keys()
+        self.known.update((x, self.older[x]) for x in again)
+        new -= again
         for x, ids in self.encoded(new):
             (self.known if len(x) <= LONGEST else extra)[x] = ids
         get = self.known if not extra else {**self.known, **extra}
