@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, pii, quality, substring_dedup
+from eventloom.llm import exact_dedup, jaccard_join, language_id, line_dedup, media, mixing, packing, pii, quality, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_jaccard_join": jaccard_join.query,
         "op7_best_fit_packing": packing.query,
         "op8_substring_dedup": substring_dedup.query,
+        "op9_media_columns": media.query,
         "op10_language_id": language_id.query,
     }
 
