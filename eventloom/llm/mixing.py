@@ -104,17 +104,18 @@ def min_cost_flow(supplies: Sequence[float], members: Sequence[Sequence[int]], q
     return flow
 
 
-def mix(docs: DataFrame, key: Column, size: Column, sources: Column, *, total: float | None = None, weights: Sequence[float] = WEIGHTS, share: float = SHARE, passes: int = MAX_PASSES, seed: int = SEED) -> DataFrame:
-    """Columns ``key, size, sources, source_size, target, taken, routed``.
+def mix(docs: DataFrame, key: Column, size: Column, sources: Column, *, total: float | None = None, weights: Sequence[float] = WEIGHTS, share: float = SHARE, passes: int = MAX_PASSES, seed: int = SEED, mark: Column | None = None) -> DataFrame:
+    """Columns ``key, mark, size, sources, source_size, target, taken, routed``.
 
     ``sources`` is an array of names, null elements allowed. ``taken`` counts
-    words with repeats; ``routed`` names the source served by each pass.
+    words with repeats; ``routed`` names the source served by each pass;
+    ``mark`` is carried along, to tell rows of equal key.
     ``source_size`` and ``target`` are sums over the document's sources.
     """
     spark = docs.sparkSession
     name = F.transform(sources, lambda s: F.when(s.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), s)))
     rank = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f":{seed}")))
-    base = table(docs.select(key.alias("key"), size.cast("long").alias("size"), F.array_sort(F.array_distinct(name)).alias("pattern"), rank.alias("rank")), "mix")
+    base = table(docs.select(key.alias("key"), (F.lit(None).cast("long") if mark is None else mark).alias("mark"), size.cast("long").alias("size"), F.array_sort(F.array_distinct(name)).alias("pattern"), rank.alias("rank")), "mix")
 
     sums = base.groupBy("pattern").agg(F.sum("size").alias("words")).collect()
     patterns = sorted((tuple(r.pattern), r.words) for r in sums)
@@ -148,7 +149,7 @@ def mix(docs: DataFrame, key: Column, size: Column, sources: Column, *, total: f
     # Pass k covers the words k * words up to (k + 1) * words; a document is in when its middle is below what is taken.
     spots = F.filter(F.transform(F.sequence(F.lit(0), F.lit(passes - 1)), lambda k: k * F.col("words") + middle), lambda m: m < F.col("take"))
     routed = F.transform(spots, lambda m: F.element_at(F.filter("cuts", lambda c: m < c["upto"]), 1)["source"])
-    return placed.select("key", "size", F.transform("pattern", lambda s: F.when(s == "n", F.lit(None)).otherwise(F.substring(s, 2, 1 << 30))).alias("sources"), "source_size", "target", (F.size(spots) * F.col("size")).cast("long").alias("taken"), routed.alias("routed"))
+    return placed.select("key", "mark", "size", F.transform("pattern", lambda s: F.when(s == "n", F.lit(None)).otherwise(F.substring(s, 2, 1 << 30))).alias("sources"), "source_size", "target", (F.size(spots) * F.col("size")).cast("long").alias("taken"), routed.alias("routed"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
