@@ -34,6 +34,12 @@ class EventStream:
     start: int | None = None
     packets: int | None = None
     range: tuple[int, int] | None = None
+    #: The stream before any filter, which its range is taken from.
+    whole: DataFrame | None = None
+
+    def __post_init__(self):
+        if self.whole is None:
+            object.__setattr__(self, "whole", self.df)
 
     # -- state
 
@@ -53,7 +59,7 @@ class EventStream:
         """First time, and one past the last; declared ranges are not shrunk by filters."""
         self._need("time_range", finite=True)
         if self.range is None:
-            object.__setattr__(self, "range", summary.time_range(self.df))
+            object.__setattr__(self, "range", summary.time_range(self.whole))
         return self.range
 
     def _irregular(self, df: DataFrame, **more) -> EventStream:

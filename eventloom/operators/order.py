@@ -39,3 +39,12 @@ def with_runs(df: DataFrame, key: str, name: str = "run", bucket: int = BUCKET)
     line = edge.join(starts, "_bucket").withColumn("_opens", F.when(F.lag("_last").over(Window.orderBy("_bucket")).eqNullSafe(F.col("_first")), 0).otherwise(1))
     line = line.withColumn("_total", F.col("_inner") + F.col("_opens")).select("_bucket", (_before("_total") + F.col("_opens")).alias("_base"))
     return marked.join(line, "_bucket").withColumn(name, F.col("_base") + F.col("_inside")).select(*df.columns, name)
+
+
+def running_max(df: DataFrame, column: str, bucket: int = BUCKET) -> DataFrame:
+    """``df`` with ``column`` raised to its running maximum in arrival order."""
+    cut = df.withColumn("_bucket", F.floor(F.col("seq") / bucket))
+    top = cut.groupBy("_bucket").agg(F.max(column).alias("_top"))
+    before = top.select("_bucket", F.max("_top").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    inside = F.max(column).over(Window.partitionBy("_bucket").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn("_inside", inside).join(before, "_bucket").withColumn(column, F.greatest("_inside", "_before")).select(*df.columns)

@@ -305,3 +305,71 @@ def timecodes(spark, d):
 @query("digest")
 def digest(spark, d):
     return summary.digest(adapter.events(spark, d), ["t", "x", "y", "on"])
+
+
+# -- byte formats: each day's packet goes through its own file's bytes, in parallel
+
+
+def _through(write: Callable, read: Callable):
+    def run(spark, d):
+        s = stream(spark, d).regularize(DAILY)
+
+        def pass_through(pdf):
+            import pandas as pd
+
+            pdf = pdf.sort_values("seq")
+            columns = {k: pdf[k].to_numpy() for k in ("t", "x", "y", "on")}
+            data, t0 = write(columns)
+            out = read(data, t0)
+            return pd.DataFrame({"seq": pdf["seq"].to_numpy(), **{k: out[k] for k in ("t", "x", "y", "on")}})
+
+        return s.df.groupBy("packet").applyInPandas(pass_through, "seq long, t long, x int, y int, on boolean")
+
+    return run
+
+
+def _codecs() -> None:
+    from eventloom.sources import codecs as c
+
+    w, h = WIDTH, HEIGHT
+    for name, write, read in (
+        ("dat1", lambda e: c.encode_dat(e | {"t": e["t"] // 1000}, w, h, "1"), lambda b, _: c.decode_dat(b)[1]),
+        ("dat2", lambda e: c.encode_dat(e | {"t": e["t"] // 1000}, w, h, "2"), lambda b, _: c.decode_dat(b)[1]),
+        ("es", lambda e: c.encode_es(e | {"t": e["t"] // 60_000_000}, w, h), lambda b, t0: c.decode_es(b, t0)[1]),
+        ("evt2", lambda e: c.encode_evt(e, w, h, "2"), lambda b, _: c.decode_evt(b)[1]),
+        ("evt3", lambda e: c.encode_evt(e, w, h, "3"), lambda b, _: c.decode_evt(b)[1]),
+        ("aedat", lambda e: c.encode_aedat(e, w, h), lambda b, _: c.decode_aedat(b)[1]),
+    ):
+        # DAT counts in 32 bits and ES writes a byte for every 127, so these take coarser times.
+        t = {"es": "t // 60000000 AS t", "dat1": "t // 1000 AS t", "dat2": "t // 1000 AS t"}.get(name, "t")
+        query(f"codec_{name}", f' SELECT seq, {t}, x, y, "on" FROM e')(_through(write, read))
+
+
+_codecs()
+
+
+@query("csv_lines", f" SELECT {ALL} FROM e")
+def csv_lines(spark, d):
+    """Events as CSV lines, and parsed again."""
+    from eventloom.sources.files import parse_csv
+
+    lines = adapter.events(spark, d).select("seq", F.concat_ws(",", "t", "x", "y", F.col("on").cast("int")).alias("value"))
+    return parse_csv(lines, WIDTH, HEIGHT)
+
+
+@query("udp_wire_forms", f" SELECT {ALL} FROM e")
+def udp_wire_forms(spark, d):
+    """Events through datagram bytes, 100 in each."""
+    from eventloom.streaming import packets
+
+    def pass_through(pdf):
+        pdf = pdf.sort_values("seq")
+        out = packets.decode(packets.encode(*(pdf[k].to_numpy() for k in ("t", "x", "y", "on")), "t64_x16_y16_on8"), "t64_x16_y16_on8")
+        return out.assign(seq=pdf["seq"].to_numpy())[["seq", "t", "x", "y", "on"]]
+
+    return adapter.events(spark, d).groupBy(F.floor(F.col("seq") / 100)).applyInPandas(pass_through, "seq long, t long, x int, y int, on boolean")
+
+
+@query("frame_dense_pixels", _LAST + f", f0 AS (SELECT DISTINCT frame, t FROM v) SELECT frame, t, {WIDTH * HEIGHT * 4} AS bytes FROM f0")
+def frame_dense_pixels(spark, d):
+    return stream(spark, d).regularize(DAILY).render("exponential", TAU, GREY).dense().select("frame", "t", F.length("pixels").alias("bytes"))
