@@ -18,8 +18,8 @@ component of links share the component's least key.
    A short parity sketch (``SKETCH_BITS``) rules out most pairs by its Hamming
    distance; the rest are verified on the sets.
 4. Components follow. Pairs within a block's documents that are in different
-   components still are compared: with further first documents while there
-   are many, then all of them. So no link between components is lost, while
+   components still are compared: a few documents with the others while there
+   are many and links are found, then all of them. So no link between components is lost, while
    groups of near copies never form all their pairs.
 
 Defined results: a null or empty text has the empty set and links with
@@ -47,9 +47,10 @@ SKETCH_BITS = 1024
 GROWTH, PER_BLOCK, LEAST_BLOCKS = 1.6, 5, 24
 #: Candidate keys are broadcast to the scan for their texts up to this many rows, and joined by a shuffle beyond.
 BROADCAST_ROWS = 1_000_000
-#: Pairs between components are all verified when there are at most so many for each class.
-PAIRS_PER_CLASS = 3
-ROUNDS = 12
+#: Pairs between components are listed when a class has at most so many on average, and all verified when so many remain after sizes and sketches.
+OPEN_PER_CLASS, PAIRS_PER_CLASS = 400, 3
+#: While there are more, each round compares so many more documents of a group with the rest. All pairs left are verified after the last, or when a round finds no link.
+HEADS, ROUNDS = 8, 8
 
 SIGNED = "doc long, n long, s1 long, s2 long, sketch array<long>, keys array<long>, short boolean"
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -156,7 +157,7 @@ def sets_of(texts: DataFrame, words: int) -> DataFrame:
 
 
 def linked(pairs: DataFrame, bags: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
+    """The pairs (a, b), from a stored table, whose sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,8 +169,13 @@ def linked(pairs: DataFrame, bags: DataFrame, num: int, den: int) -> DataFrame:
                 good.append(den * same >= num * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    one = pairs.join(bags.select(F.col("cls").alias("b"), F.col("bag").alias("y")), "b")
-    two = one.join(bags.select(F.col("cls").alias("a"), F.col("bag").alias("x")), "a")
+    def named(x: str, bag: str) -> DataFrame:
+        """The sets that the pairs need on one side: only these are shuffled."""
+        ids = pairs.select(F.col(x).alias("cls")).distinct()
+        few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        return bags.join(F.broadcast(ids) if few else ids, "cls", "left_semi").select(F.col("cls").alias(x), F.col("bag").alias(bag))
+
+    two = pairs.join(named("b", "y"), "b").join(named("a", "x"), "a")
     return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -211,8 +217,8 @@ def joined(docs: DataFrame, key: Column, text: Column, *, words: int = WORDS, nu
     side = lambda x: facts.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
     fits = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").where(plausible(num, den)).select("a", "b")
     pairs = table(fits(group.select(F.col("c").alias("a"), F.col("x").alias("b"))), "pairs")
-    first = pairs.groupBy("b").agg(F.min("a").alias("a"))
-    links = table(linked(first.select("a", "b"), bags, num, den), "links")
+    first = table(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    links = table(linked(first, bags, num, den), "links")
     root = components(links)
 
     def apart(found: DataFrame) -> DataFrame:
@@ -220,15 +226,18 @@ def joined(docs: DataFrame, key: Column, text: Column, *, words: int = WORDS, nu
         r = lambda x: root.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
         return found.join(r("a"), "a", "left").join(r("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
-    def more(found: DataFrame) -> None:
+    def more(found: DataFrame) -> bool:
         nonlocal links, root
         new = table(linked(found, bags, num, den), "links")
-        if new.limit(1).count():
-            links = links.unionByName(new)
-            root = components(links)
+        if not new.limit(1).count():
+            return False
+        links = links.unionByName(new)
+        root = components(links)
+        return True
 
-    more(apart(pairs.join(first, ["a", "b"], "left_anti")))
+    more(table(apart(pairs.join(first, ["a", "b"], "left_anti")), "apart"))
     every = group.unionByName(group.select("c", F.col("c").alias("x")).distinct())
+    stuck = False
     for turn in range(ROUNDS + 1):
         placed = every.join(root.select(F.col("node").alias("x"), "root"), "x", "left").select("c", "x", F.coalesce("root", "x").alias("root"))
         mixed = placed.groupBy("c").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("c")
@@ -239,17 +248,18 @@ def joined(docs: DataFrame, key: Column, text: Column, *, words: int = WORDS, nu
         open_pairs = groups.agg(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2)).first()[0] or 0
         if not open_pairs:
             break
-        if open_pairs > PAIRS_PER_CLASS * count and turn < ROUNDS:
-            # In each group one more document is compared with those of other components: a random one that isn't with the group's first.
-            odd = placed.join(root.select(F.col("node").alias("c"), F.col("root").alias("own")), "c", "left").where(F.col("root") != F.coalesce("own", "c"))
-            head = odd.groupBy("c").agg(F.min(F.struct(F.xxhash64("x", F.lit(turn)).alias("h"), F.col("x").alias("x"))).alias("h")).select("c", F.col("h.x").alias("a"))
-            one = one.join(head, ["c", "a"])
-        compare = one.join(two, "c").where((F.col("ra") != F.col("rb")) & plausible(num, den))
-        if open_pairs <= PAIRS_PER_CLASS * count or turn == ROUNDS:
-            compare = compare.where("a < b")
-        more(table(compare.select("a", "b").distinct(), "compare"))
-        if open_pairs <= PAIRS_PER_CLASS * count or turn == ROUNDS:
-            break
+        between = (F.col("ra") != F.col("rb")) & plausible(num, den)
+        last = stuck or turn == ROUNDS
+        if last or open_pairs <= OPEN_PER_CLASS * count:
+            rest = table(one.join(two, "c").where((F.col("a") < F.col("b")) & between).select("a", "b").distinct(), "rest")
+            if last or rest.count() <= PAIRS_PER_CLASS * count:
+                more(rest)
+                break
+        # In each group some more documents are compared with those of other components: random ones that aren't with the group's first.
+        odd = placed.join(root.select(F.col("node").alias("c"), F.col("root").alias("own")), "c", "left").where(F.col("root") != F.coalesce("own", "c"))
+        chance = F.xxhash64("x", F.lit(turn))
+        head = odd.groupBy("c", F.pmod(chance, F.lit(HEADS)).alias("part")).agg(F.min(F.struct(chance.alias("h"), F.col("x").alias("x"))).alias("h")).select("c", F.col("h.x").alias("a"))
+        stuck = not more(table(one.join(head, ["c", "a"]).join(two, "c").where(between).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "compare"))
     whole = named.join(root.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = whole.groupBy("root").agg(F.min("doc").alias("component"))
     out = whole.join(least, "root").select("doc", "n", "s1", "component")
