@@ -66,7 +66,7 @@ def _events(t, x, y, on) -> Columns:
     return {"t": np.asarray(t, np.int64), "x": np.asarray(x, np.int32), "y": np.asarray(y, np.int32), "on": np.asarray(on, bool)}
 
 
-# -- lines before Prophesee data
+# -- lines before the data of DAT and EVT files
 
 
 def percent_header(data: bytes, dimensions: tuple[int, int] | None, version: str | None) -> Header:

@@ -7,18 +7,20 @@ from importlib import import_module
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-DRIVERS = ("neuromorphic_drivers", "event_camera_drivers")
 BUFFER = 1024
 
 
-def events_stream_from_camera(spark: SparkSession, driver: str = "auto", manufacturer: str | None = None, buffer_size: int = BUFFER):
-    """Tries the drivers in turn; without one, says so."""
-    for name in DRIVERS if driver == "auto" else (driver,):
+def events_stream_from_camera(spark: SparkSession, drivers: tuple[str, ...] = (), manufacturer: str | None = None, buffer_size: int = BUFFER):
+    """Tries the driver modules in turn; each offers ``open(spark, manufacturer, buffer_size)``, which gives a streaming DataFrame and the sensor's sides."""
+    from eventloom.model import EventStream
+
+    for name in drivers:
         try:
             module = import_module(name)
         except ImportError:
             continue
-        raise NotImplementedError(f"{module.__name__} is there, but no camera of {manufacturer or 'any maker'} was tried with it")
+        df, width, height = module.open(spark, manufacturer, buffer_size)
+        return EventStream(df, width, height, finite=False)
     raise RuntimeError("no camera driver is installed")
 
 
