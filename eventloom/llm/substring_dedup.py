@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import read, table
+from eventloom.llm.common import read
 
 SENTENCES = 3
 WORDS = 20
@@ -91,7 +91,8 @@ def all_spans(docs: DataFrame, key: str, text: str, sentences: int, words: int)
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", *, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """``key, row, cover``: for each row that has any, its spans (first, one past last sentence) that aren't the first of their kind."""
-    found = table(all_spans(docs, key, text, sentences, words), "spans").select("key", "row", F.explode("spans").alias("s")).select("key", "row", "s.*")
+    # Both uses hash the texts anew: a stored table of all spans would take more disk than the texts take time.
+    found = all_spans(docs, key, text, sentences, words).select("key", "row", F.explode("spans").alias("s")).select("key", "row", "s.*")
     often = found.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a")
     met = found.join(often, "a", "left_semi")
     place = F.struct("key", "start")
