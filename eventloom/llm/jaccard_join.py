@@ -200,25 +200,38 @@ def joined(docs: DataFrame, key: Column, text: Column, *, words: int = WORDS, nu
     count = named.where("rid = cls").count()
 
     emitted = rows.select("rid", F.explode("keys").alias("key"))
-    met = emitted.groupBy("key").agg(F.min("rid").alias("c"), F.max("rid").alias("last")).where("c < last").select("key", "c")
-    member = emitted.join(met, "key").where("rid != c").select("c", "rid").distinct()
+    shared = emitted.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
+    hit = table(emitted.join(shared, "key", "left_semi"), "hit")
+    met = hit.groupBy("key").agg(F.min("rid").alias("c"))
+    member = hit.join(met, "key").where("rid != c").select("c", "rid").distinct()
     to = named.select("rid", "cls")
     member = member.join(to, "rid").select("c", F.col("cls").alias("x")).join(to.withColumnRenamed("rid", "c"), "c").select(F.col("cls").alias("c"), "x").where("c != x").distinct()
     group = table(member, "groups")
     facts = table(rows.join(named.where("rid = cls").select("rid").join(group.select(F.col("c").alias("rid")).union(group.select("x")).distinct(), "rid", "left_semi"), "rid", "left_semi").select(F.col("rid").alias("cls"), "doc", "n", "s1", "sketch"), "facts")
 
-    wanted = facts.select("cls", "s1", F.col("doc").alias("d"))
-    few = facts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    found = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc").eqNullSafe(F.col("d"))).select("cls", "s1", "text")
-    bags = table(sets_of(found, words), "bags")
-    if bags.count() > facts.count():  # repeated rows
-        bags = table(bags.dropDuplicates(["cls"]), "bags")
+    bags = have = None
+
+    def with_bags(found: DataFrame) -> DataFrame:
+        """``found``, after the sets of classes that it is the first to need were made from their texts."""
+        nonlocal bags, have
+        ids = found.select(F.col("a").alias("cls")).union(found.select("b")).distinct()
+        ids = table(ids if have is None else ids.join(have, "cls", "left_anti"), "ids")
+        count = ids.count()
+        if bags is not None and not count:
+            return found
+        wanted = facts.join(ids, "cls", "left_semi").select("cls", "s1", F.col("doc").alias("d"))
+        texts = docs.join(F.broadcast(wanted) if count <= BROADCAST_ROWS else wanted, F.col("doc").eqNullSafe(F.col("d"))).select("cls", "s1", "text")
+        new = table(sets_of(texts, words), "bags")
+        if new.count() > count:  # repeated rows
+            new = table(new.dropDuplicates(["cls"]), "bags")
+        bags, have = (new, ids) if bags is None else (bags.unionByName(new), have.unionByName(ids))
+        return found
 
     side = lambda x: facts.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
     fits = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").where(plausible(num, den)).select("a", "b")
     pairs = table(fits(group.select(F.col("c").alias("a"), F.col("x").alias("b"))), "pairs")
     first = table(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
-    links = table(linked(first, bags, num, den), "links")
+    links = table(linked(with_bags(first), bags, num, den), "links")
     root = components(links)
 
     def apart(found: DataFrame) -> DataFrame:
@@ -228,7 +241,7 @@ def joined(docs: DataFrame, key: Column, text: Column, *, words: int = WORDS, nu
 
     def more(found: DataFrame) -> bool:
         nonlocal links, root
-        new = table(linked(found, bags, num, den), "links")
+        new = table(linked(with_bags(found), bags, num, den), "links")
         if not new.limit(1).count():
             return False
         links = links.unionByName(new)
