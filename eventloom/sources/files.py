@@ -8,6 +8,7 @@ into a temporary file that is then renamed.
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 from collections.abc import Iterable, Iterator
@@ -149,6 +150,22 @@ def events_stream_from_stdin(spark: SparkSession, dimensions: tuple[int, int], t
     return EventStream(parse_csv(spark.createDataFrame(rows, "seq long, value string"), *dimensions, t0, csv_properties), *dimensions)
 
 
+def cached_time_range(stream: EventStream, path: str, cache: str, **options) -> tuple[int, int]:
+    """The stream's time range, kept in a JSON file by path, size, time of change and options."""
+    about = os.stat(path)
+    key = json.dumps([os.path.abspath(path), about.st_size, about.st_mtime_ns, sorted(options.items())])
+    known = {}
+    if os.path.exists(cache):
+        with open(cache) as f:
+            known = json.load(f)
+    if key not in known:
+        known[key] = list(stream.time_range())
+        with open(f"{cache}.write", "w") as f:
+            json.dump(known, f)
+        os.replace(f"{cache}.write", cache)
+    return tuple(known[key])
+
+
 # -- writing
 
 

@@ -172,3 +172,26 @@ def test_cli(spark, tmp_path, capsys):
     assert "in.dat" in cli.init(spark, src)
     with pytest.raises(SystemExit):
         cli.filtered(events_stream_from_array(spark, a, (40, 30)), ["nothing"])
+
+
+def test_time_range_cache(spark, tmp_path):
+    s = events_stream_from_array(spark, recording(30), (40, 30))
+    path, cache = str(tmp_path / "a.dat"), str(tmp_path / "cache.json")
+    s.to_file(path)
+    first = files.cached_time_range(s, path, cache, t0=None)
+    other = events_stream_from_array(spark, recording(10), (40, 30))
+    assert first == s.time_range() == files.cached_time_range(other, path, cache, t0=None)
+    assert files.cached_time_range(other, path, cache, t0=5) == other.time_range()
+
+
+def test_pictures(spark):
+    from eventloom.functions.color import catalogue
+    from eventloom.operators import plots
+
+    s = events_stream_from_array(spark, recording(), (40, 30))
+    for logarithmic in (False, True):
+        svg = plots.rate_svg(s.to_event_rate(40), logarithmic=logarithmic, theme="dark")
+        assert svg.startswith("<svg") and len(svg.split("points=")[1].split('"')[1].split()) == 40
+    image = plots.kinectograph_image(s.to_kinectograph(), 40, 30, catalogue()["ink_2"], "#000000", 2)
+    assert image.shape == (60, 80, 4) and (image[..., 3] == 255).all() and image[..., :3].any()
+    assert plots.axis_range(np.array([0.0, 37.0]), False) == (0.0, 40.0) and plots.axis_range(np.array([0.0, 5.0, 300.0]), True) == (1.0, 1000.0)
