@@ -43,8 +43,8 @@ from eventloom.llm.components import components
 
 WORDS, NUM, DEN = 4, 85, 100
 SKETCH_BITS = 1024
-#: Bands grow by this factor; blocks hold about five hashes at a band's end.
-GROWTH, PER_BLOCK, LEAST_BLOCKS = 1.6, 5, 24
+#: Bands grow by this factor; a band has this much more blocks (a percentage) than its largest sets must fill.
+GROWTH, SPARE, LEAST_BLOCKS = 1.6, 115, 24
 #: Candidate keys are broadcast to the scan for their texts up to this many rows, and joined by a shuffle beyond.
 BROADCAST_ROWS = 1_000_000
 #: Pairs between components are listed when a class has at most so many on average, and all verified when so many remain after sizes and sketches.
@@ -52,7 +52,7 @@ OPEN_PER_CLASS, PAIRS_PER_CLASS = 400, 3
 #: While there are more, each round compares so many more documents of a group with the rest. All pairs left are verified after the last, or when a round finds no link.
 HEADS, ROUNDS = 8, 8
 
-SIGNED = "doc long, n long, s1 long, s2 long, sketch array<long>, keys array<long>, short boolean"
+SIGNED = "doc long, n long, s1 long, s2 long, sketch array<long>, keys array<long>, short int"
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,20 +86,24 @@ def band_ends(most: int) -> list[int]:
 _ENDS = band_ends(1 << 40)
 
 
-def block_keys(hashes: np.ndarray, num: int, den: int, wider: int) -> tuple[np.ndarray, bool]:
-    """The keys that a set emits, and whether it has fewer filled blocks than the pigeonhole needs."""
+def blocks_needed(n: int, num: int, den: int) -> int:
+    """One more than the most elements in which a set of n and a similar one can differ."""
+    return (n + n * den // num) * (den - num) // (den + num) + 1
+
+
+def block_keys(hashes: np.ndarray, num: int, den: int, wider: dict[int, int]) -> tuple[np.ndarray, int]:
+    """The keys that a set emits; and the band in which it fills fewer blocks than the pigeonhole needs, or -1."""
     n = len(hashes)
-    most = n * den // num
-    need = (n + most) * (den - num) // (den + num) + 1
-    first = bisect_left(_ENDS, n)
-    keys, short = [], False
+    need = blocks_needed(n, num, den)
+    keys, short = [], -1
     codes = mix(hashes ^ _M2)
-    for band in range(first, bisect_left(_ENDS, most) + 1):
-        blocks = max(LEAST_BLOCKS, _ENDS[band] // PER_BLOCK + 4) * wider
+    for band in range(bisect_left(_ENDS, n), bisect_left(_ENDS, n * den // num) + 1):
+        blocks = max(LEAST_BLOCKS, blocks_needed(_ENDS[band], num, den) * SPARE // 100 + 4) * wider.get(band, 1)
         # The hashes are sorted, so equal high parts, and with them equal blocks, are neighbours.
         block = ((hashes >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-        short |= len(starts) < need
+        if len(starts) < need:
+            short = band
         folded = np.bitwise_xor.reduceat(codes, starts)[:need]
         keys.append(mix(folded ^ mix(block[starts[:need]] * _M3 + np.uint64(band + 1))))
     return np.concatenate(keys), short
@@ -116,7 +120,7 @@ def _hasher():
     return xxhash.xxh3_64_intdigest
 
 
-def signed(docs: DataFrame, words: int, num: int, den: int, wider: int) -> DataFrame:
+def signed(docs: DataFrame, words: int, num: int, den: int, wider: dict[int, int]) -> DataFrame:
     """``SIGNED`` for each row of ``docs`` (doc, text): size, two checksums of the set, short sketch and block keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +129,7 @@ def signed(docs: DataFrame, words: int, num: int, den: int, wider: int) -> DataF
             n, s1, s2, sketches, keys, short = [], [], [], [], [], []
             for t in batch.column(1).to_pylist():
                 h = shingles(t, words, digest)
-                own, few = block_keys(h, num, den, wider) if len(h) else (np.empty(0, np.uint64), False)
+                own, few = block_keys(h, num, den, wider) if len(h) else (np.empty(0, np.uint64), -1)
                 n.append(len(h))
                 s1.append(int(np.bitwise_xor.reduce(mix(h ^ _M1), initial=0)) - (1 << 63))
                 s2.append(int(np.add.reduce(mix(h ^ _M3), dtype=np.uint64, initial=0)) - (1 << 63))
@@ -135,7 +139,7 @@ def signed(docs: DataFrame, words: int, num: int, den: int, wider: int) -> DataF
             ends = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32))
             lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
             bits = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (SKETCH_BITS // 64)), pa.array(np.concatenate([np.empty(0, np.int64), *sketches])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), bits, lists, pa.array(short, pa.bool_())], ["doc", "n", "s1", "s2", "sketch", "keys", "short"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), bits, lists, pa.array(short, pa.int32())], ["doc", "n", "s1", "s2", "sketch", "keys", "short"])
 
     return docs.mapInArrow(run, SIGNED)
 
@@ -189,12 +193,13 @@ def plausible(num: int, den: int) -> Column:
 def joined(docs: DataFrame, key: Column, text: Column, *, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """``doc, n, s1, component`` for each row of ``docs``."""
     docs = docs.select(key.cast("long").alias("doc"), text.alias("text"))
-    wider = 1
-    while True:  # a set whose hashes crowd into too few blocks needs more of them; next to impossible, but then all are cut anew
+    wider: dict[int, int] = {}
+    while True:  # a set whose hashes crowd into too few blocks needs more of them in its band; that is very rare, and then all are cut anew
         rows = table(signed(docs, words, num, den, wider).withColumn("rid", F.monotonically_increasing_id()), "signed")
-        if not rows.where("short").limit(1).count():
+        crowded = [r.short for r in rows.where("short >= 0").select("short").distinct().collect()]
+        if not crowded:
             break
-        wider *= 4
+        wider |= {band: 4 * wider.get(band, 1) for band in crowded}
     classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("rid").alias("cls"))
     named = table(rows.where("n > 0").select("rid", "doc", "n", "s1", "s2").join(classes, ["s1", "s2"]), "classes")
     count = named.where("rid = cls").count()
