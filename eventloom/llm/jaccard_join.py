@@ -260,6 +260,7 @@ def joined(docs: DataFrame, key: Column, text: Column, *, words: int = WORDS, nu
         placed = every.join(root.select(F.col("node").alias("x"), "root"), "x", "left").select("c", "x", F.coalesce("root", "x").alias("root"))
         mixed = placed.groupBy("c").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("c")
         placed = table(placed.join(mixed, "c", "left_semi").join(facts.select(F.col("cls").alias("x"), "n", "sketch"), "x"), "placed")
+        every = placed.select("c", "x")  # a group in one component stays so
         one = placed.select("c", F.col("x").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
         two = placed.select("c", F.col("x").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
         groups = placed.groupBy("c", "root").agg(F.count("*").alias("m")).groupBy("c").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"))
