@@ -11,6 +11,14 @@ First means least in the order of key and position. Texts are compared by
 words, so spacing doesn't matter. Per span only two hashes, the key and its
 place move; a shared span costs what its occurrences cost, no pairs are formed.
 
+With ``most`` a span holds at most so many words, and ends within a sentence if
+it must; and of every ``gap`` words in a row none of which starts a sentence,
+the one of least hash starts a span too. Both depend on those words alone. So
+where one sentence is enough for a span and ``gap + most`` is at most 50, every
+run of 50 words (with the same line breaks) holds a whole span that is the same
+wherever the run stands: one starts among its words 2 to ``gap + 1``. With
+``gap`` at most ``words`` the spans of a longer run leave no holes.
+
 Defined results: a null text stays null; texts with fewer sentences or words
 than a span needs stay as they are; rows of equal key count as standing at the
 same place, so neither of two repeated rows is the later; null keys come first.
@@ -29,10 +37,14 @@ from eventloom.llm.common import read
 
 SENTENCES = 3
 WORDS = 20
-SPANS = "key long, row long, spans array<struct<a: long, b: long, start: int, stop: int>>"
+#: The query's spans: repeated runs of GAP + MOST words hold one, whatever their sentences.
+GAP, MOST = 20, 30
+#: ``rest`` is b (the digest's second half), row, start and stop: in one array, so that both uses shuffle the same columns, which Spark then does once.
+SPANS = "key long, spans array<struct<a: long, rest: array<long>>>"
 
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 _STOP = np.isin(np.arange(256), list(b".!?"))
+_CODES = np.where(_SPACE, 0, np.random.RandomState(8).randint(1, 1 << 62, 256)).astype(np.uint64)
 _UPPER = np.isin(np.arange(256), list(range(65, 91)))
 
 
@@ -60,63 +72,89 @@ def words_and_sentences(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.flatnonzero(opens)
 
 
-def spans(text: bytes, sentences: int, words: int, digest) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The digest, first sentence and one past the last of each span."""
+def inner_starts(data: np.ndarray, starts: np.ndarray, first: np.ndarray, gap: int) -> np.ndarray:
+    """The words of least hash of all ``gap`` words in a row that start no sentence."""
+    if not 0 < gap <= len(starts):
+        return first[:0]
+    before = np.zeros(len(starts) + 1, np.int64)
+    before[first + 1] = 1
+    before = np.cumsum(before)
+    free = np.flatnonzero(before[gap:] == before[:-gap])
+    if not len(free):
+        return free
+    # Letters in another order hash alike; that moves a start, and moves it wherever the words stand.
+    rank = np.add.reduceat(_CODES[data], starts) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
+    return np.unique(free + np.lib.stride_tricks.sliding_window_view(rank, gap)[free].argmin(1))
+
+
+def spans(text: bytes, sentences: int, words: int, digest, gap: int = 0, most: int | None = None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The digest, first word and one past the last of each span."""
     own = text.split()
     starts, first = words_and_sentences(text)
+    start = np.union1d(first, inner_starts(np.frombuffer(text, np.uint8), starts, first, gap))
     first = np.append(first, len(starts))
-    start = np.arange(len(first) - 1)
-    stop = np.maximum(np.searchsorted(first, first[:-1] + words), start + sentences)
+    stop = np.maximum(np.searchsorted(first, start + words), np.searchsorted(first, start, "right") - 1 + sentences)
     good = stop < len(first)
-    start, stop = start[good], stop[good]
+    start, stop = start[good], first[stop[good]]
+    if most is not None:
+        stop = np.minimum(stop, start + most)
     joined = b" ".join(own)
     at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)))
-    return [digest(joined[i:j]) for i, j in zip(at[first[start]].tolist(), (at[first[stop]] - 1).tolist(), strict=True)], start, stop
+    return [digest(joined[i:j]) for i, j in zip(at[start].tolist(), (at[stop] - 1).tolist(), strict=True)], start, stop
 
 
-def all_spans(docs: DataFrame, key: str, text: str, sentences: int, words: int) -> DataFrame:
+def all_spans(docs: DataFrame, key: str, text: str, sentences: int, words: int, gap: int, most: int | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            found = [spans((t or "").encode(), sentences, words, xxhash.xxh3_128_digest) for t in batch.column(1).to_pylist()]
+            found = [spans((t or "").encode(), sentences, words, xxhash.xxh3_128_digest, gap, most) for t in batch.column(1).to_pylist()]
             ids = np.frombuffer(b"".join(x for f in found for x in f[0]), np.int64).reshape(-1, 2)
-            places = [np.concatenate([np.empty(0, np.int64), *(f[k] for f in found)]).astype(np.int32) for k in (1, 2)]
-            held = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (ids[:, 0], ids[:, 1], *places)], names=["a", "b", "start", "stop"])
-            offsets = pa.array(np.concatenate(([0], np.cumsum([len(f[0]) for f in found]))), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(offsets, held)], ["key", "row", "spans"])
+            places = [np.concatenate([np.empty(0, np.int64), *(f[k] for f in found)]) for k in (1, 2)]
+            count = [len(f[0]) for f in found]
+            rest = np.stack((ids[:, 1], np.repeat(np.asarray(batch.column(2)), count), *places), 1)
+            rest = pa.ListArray.from_arrays(pa.array(np.arange(0, rest.size + 1, 4), pa.int32()), pa.array(rest.ravel()))
+            held = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(ids[:, 0])), rest], names=["a", "rest"])
+            offsets = pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, held)], ["key", "spans"])
 
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("row")).mapInArrow(run, SPANS)
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", *, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """``key, row, cover``: for each row that has any, its spans (first, one past last sentence) that aren't the first of their kind."""
-    # Both uses hash the texts anew: a stored table of all spans would take more disk than the texts take time.
-    found = all_spans(docs, key, text, sentences, words).select("key", "row", F.explode("spans").alias("s")).select("key", "row", "s.*")
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", *, sentences: int = SENTENCES, words: int = WORDS, gap: int = 0, most: int | None = None) -> DataFrame:
+    """``key, row, cover``: for each row that has any, its spans (first, one past last word) that aren't the first of their kind."""
+    # Counting and the rest each hash the texts: a stored table of all spans would take more disk than the texts take time.
+    found = all_spans(docs, key, text, sentences, words, gap, most).select("key", F.explode("spans").alias("s")).select("key", "s.*")
     often = found.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a")
     met = found.join(often, "a", "left_semi")
-    place = F.struct("key", "start")
-    first = met.groupBy("a", "b").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").select("a", "b", "lo")
-    later = met.join(first, ["a", "b"]).where(place > F.col("lo"))
-    return later.groupBy("key", "row").agg(F.collect_set(F.struct("start", "stop")).alias("cover"))
+    b, row, start, stop = (F.get("rest", F.lit(i)) for i in range(4))
+    place = F.struct("key", start.alias("start"))
+    first = met.groupBy("a", b.alias("b")).agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").select(F.col("a").alias("fa"), F.col("b").alias("fb"), "lo")
+    later = met.join(first, (F.col("a") == F.col("fa")) & b.eqNullSafe(F.col("fb"))).where(place > F.col("lo"))
+    return later.groupBy("key", row.alias("row")).agg(F.collect_set(F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"))).alias("cover"))
 
 
 REMOVED = "key long, text string, n_removed long"
 
 
 def without(text: str, cover: list[tuple[int, int]]) -> tuple[str, int]:
-    """``text`` without the sentences in the ranges given, and how many these are."""
+    """``text`` without the words in the ranges given, and how many sentences lose any."""
     data = text.encode()
     starts, first = words_and_sentences(data)
-    edges = [0, *starts[first[1:]].tolist(), len(data)]
-    drop = bytearray(len(edges) - 1)
+    change = np.zeros(len(starts) + 1, np.int64)
     for start, stop in cover:
-        drop[start:stop] = b"\1" * (stop - start)
-    return b"".join(data[a:b] for a, b, d in zip(edges, edges[1:], drop, strict=False) if not d).decode(), sum(drop)
+        change[start] += 1
+        change[stop] -= 1
+    drop = np.cumsum(change[:-1]) > 0
+    turns = np.flatnonzero(np.diff(drop.astype(np.int8), prepend=0))
+    edges = [0, *starts[turns].tolist(), len(data)]
+    if drop[:1].any():  # and the space before
+        edges[1] = 0
+    return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=False)).decode(), int(np.add.reduceat(drop, first, dtype=np.int64).astype(bool).sum())
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", *, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """``REMOVED`` for each row of ``docs``; ``n_removed`` counts sentences."""
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", *, sentences: int = SENTENCES, words: int = WORDS, gap: int = 0, most: int | None = None) -> DataFrame:
+    """``REMOVED`` for each row of ``docs``; ``n_removed`` counts sentences that are removed or, with ``most``, lose words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,11 +162,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
             out = [without(t, [(c["start"], c["stop"]) for c in cover]) if cover else (t, 0) for t, cover in zip(batch.column(1).to_pylist(), covers, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64())], ["key", "text", "n_removed"])
 
-    cover = repeated_spans(docs, key, text, sentences=sentences, words=words)
+    cover = repeated_spans(docs, key, text, sentences=sentences, words=words, gap=gap, most=most)
     base = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("row")).alias("d")
-    joined = base.join(cover.alias("c"), F.col("d.key").eqNullSafe(F.col("c.key")) & (F.col("d.row") == F.col("c.row")), "left")
+    joined = base.join(cover.alias("c"), F.col("d.key").eqNullSafe(F.col("c.key")) & F.col("d.row").eqNullSafe(F.col("c.row")), "left")  # an equality would add a filter to one of the two uses of the spans
     return joined.select("d.key", "d.text", "cover").mapInArrow(run, REMOVED)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(read(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+    return remove_repeats(read(spark, sf_dir, "documents"), sentences=1, gap=GAP, most=MOST).withColumnRenamed("key", "doc_id")

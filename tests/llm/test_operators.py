@@ -420,6 +420,30 @@ def test_spans_against_brute_force(spark, docs):
     assert got == {k: len(gone[k]) for k, _ in rows}
 
 
+def test_repeats_of_one_and_two_sentences(spark):
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    one, two, none, long = f"One {words(54)}.", f"Two {words(26)}. And {words(26)}.", words(55), words(400)
+    rows = []
+    for i in range(6):
+        for j, passage in enumerate((one, two, none, long)):
+            rows.append((10 * i + j, f"Before it {words(rng.randrange(1, 40))} {passage} {words(rng.randrange(1, 40))}. {words(30)}"))
+    rows += [(100, None), (101, ""), (102, "The " * 300), (103, one), (103, one)]
+    whole = spark.createDataFrame(rows, "doc_id long, text string")
+    out = substring_dedup.remove_repeats(whole, sentences=1, gap=substring_dedup.GAP, most=substring_dedup.MOST).collect()
+    assert Counter(r.key for r in out) == Counter(k for k, _ in rows)
+    met = {}
+    for r in out:
+        own = (r.text or "").split()
+        for i in range(len(own) - 49):
+            assert met.setdefault(tuple(own[i : i + 50]), r.key) == r.key
+    by = {r.key: r for r in out}
+    for k, t in rows:
+        if k < 100:
+            left = set((by[k].text or "").split())
+            assert (by[k].text == t) == (k < 10) and all(w in left for w in t.split()[:3] + t.split()[-29:])
+
+
 # -- 9
 
 
