@@ -30,15 +30,21 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document of least id stays, and of repeated rows one. Rows of one id but different texts stand or fall together."""
-    found = table(jaccard_join.joined(docs, F.col("doc_id"), F.col("text"), words=NEAR_WORDS, num=NEAR_NUM, den=NEAR_DEN).select("doc", "component"), "near")
-    gone = found.where(~F.col("doc").eqNullSafe(F.col("component"))).select("doc").distinct()
+    """Of each component of near copies one text stays, that of least id (null if there is no other) and then of least hash, and of repeated rows one.
+
+    Rows are told apart by id and text: other texts of an id stay, also of a null id.
+    """
+    found = table(jaccard_join.joined(docs, F.col("doc_id"), F.col("text"), words=NEAR_WORDS, num=NEAR_NUM, den=NEAR_DEN, mark=F.xxhash64("text")).select("doc", "mark", "root"), "near")
+    place = F.struct(F.col("doc").isNull().alias("none"), "doc", "mark")
+    least = found.where("root IS NOT NULL").groupBy("root").agg(F.min(place).alias("least"))
+    gone = found.join(least, "root").where(place != F.col("least")).select("doc", "mark").distinct()
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    left = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").eqNullSafe(F.col("doc")), "left_anti")
-    again = found.groupBy("doc").count().where("count > 1").select("doc")
+    mark = F.xxhash64("text")
+    left = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").eqNullSafe(F.col("doc")) & (mark == F.col("mark")), "left_anti")
+    again = table(found.groupBy("doc", "mark").count().where("count > 1").select("doc", "mark"), "again")
     if not again.limit(1).count():
         return left
-    same = F.col("doc_id").eqNullSafe(F.col("doc"))
+    same = F.col("doc_id").eqNullSafe(F.col("doc")) & (mark == F.col("mark"))
     return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 

@@ -121,7 +121,8 @@ def _hasher():
 
 
 def signed(docs: DataFrame, words: int, num: int, den: int, wider: dict[int, int]) -> DataFrame:
-    """``SIGNED`` for each row of ``docs`` (doc, text): size, two checksums of the set, short sketch and block keys."""
+    """``SIGNED`` for each row of ``docs`` (doc, text): size, two checksums of the set, short sketch and block keys, and ``mark`` if they have it."""
+    marked = "mark" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = _hasher()
@@ -139,9 +140,9 @@ def signed(docs: DataFrame, words: int, num: int, den: int, wider: dict[int, int
             ends = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32))
             lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
             bits = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (SKETCH_BITS // 64)), pa.array(np.concatenate([np.empty(0, np.int64), *sketches])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), bits, lists, pa.array(short, pa.int32())], ["doc", "n", "s1", "s2", "sketch", "keys", "short"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), bits, lists, pa.array(short, pa.int32()), *batch.columns[2:]], ["doc", "n", "s1", "s2", "sketch", "keys", "short", *["mark"][: marked]])
 
-    return docs.mapInArrow(run, SIGNED)
+    return docs.mapInArrow(run, SIGNED + ", mark long" * marked)
 
 
 def sets_of(texts: DataFrame, words: int) -> DataFrame:
@@ -190,9 +191,10 @@ def plausible(num: int, den: int) -> Column:
     return near & (away * (den + num) <= (F.col("na") + F.col("nb")) * (den - num))
 
 
-def joined(docs: DataFrame, key: Column, text: Column, *, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """``doc, n, s1, component`` for each row of ``docs``."""
-    docs = docs.select(key.cast("long").alias("doc"), text.alias("text"))
+def joined(docs: DataFrame, key: Column, text: Column, *, words: int = WORDS, num: int = NUM, den: int = DEN, mark: Column | None = None) -> DataFrame:
+    """``doc, n, s1, component`` for each row of ``docs``; where a ``mark`` (long) tells apart rows of one key, also ``mark`` and the component's own number ``root``, which is null for empty sets."""
+    marks = [] if mark is None else ["mark"]
+    docs = docs.select(key.cast("long").alias("doc"), text.alias("text"), *[m.alias("mark") for m in [mark][: len(marks)]])
     wider: dict[int, int] = {}
     while True:  # a set whose hashes crowd into too few blocks needs more of them in its band; that is very rare, and then all are cut anew
         rows = table(signed(docs, words, num, den, wider).withColumn("rid", F.monotonically_increasing_id()), "signed")
@@ -201,7 +203,7 @@ def joined(docs: DataFrame, key: Column, text: Column, *, words: int = WORDS, nu
             break
         wider |= {band: 4 * wider.get(band, 1) for band in crowded}
     classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("rid").alias("cls"))
-    named = table(rows.where("n > 0").select("rid", "doc", "n", "s1", "s2").join(classes, ["s1", "s2"]), "classes")
+    named = table(rows.where("n > 0").select("rid", "doc", "n", "s1", "s2", *marks).join(classes, ["s1", "s2"]), "classes")
     count = named.where("rid = cls").count()
 
     emitted = rows.select("rid", F.explode("keys").alias("key"))
@@ -212,7 +214,7 @@ def joined(docs: DataFrame, key: Column, text: Column, *, words: int = WORDS, nu
     to = named.select("rid", "cls")
     member = member.join(to, "rid").select("c", F.col("cls").alias("x")).join(to.withColumnRenamed("rid", "c"), "c").select(F.col("cls").alias("c"), "x").where("c != x").distinct()
     group = table(member, "groups")
-    facts = table(rows.join(named.where("rid = cls").select("rid").join(group.select(F.col("c").alias("rid")).union(group.select("x")).distinct(), "rid", "left_semi"), "rid", "left_semi").select(F.col("rid").alias("cls"), "doc", "n", "s1", "sketch"), "facts")
+    facts = table(rows.join(named.where("rid = cls").select("rid").join(group.select(F.col("c").alias("rid")).union(group.select("x")).distinct(), "rid", "left_semi"), "rid", "left_semi").select(F.col("rid").alias("cls"), "doc", "n", "s1", "sketch", *marks), "facts")
 
     bags = have = None
 
@@ -224,8 +226,10 @@ def joined(docs: DataFrame, key: Column, text: Column, *, words: int = WORDS, nu
         count = ids.count()
         if bags is not None and not count:
             return found
-        wanted = facts.join(ids, "cls", "left_semi").select("cls", "s1", F.col("doc").alias("d"))
-        texts = docs.join(F.broadcast(wanted) if count <= BROADCAST_ROWS else wanted, F.col("doc").eqNullSafe(F.col("d"))).select("cls", "s1", "text")
+        wanted = facts.join(ids, "cls", "left_semi").select("cls", "s1", F.col("doc").alias("d"), *[F.col(m).alias("m") for m in marks])
+        same = F.col("doc").eqNullSafe(F.col("d"))
+        same = same & F.col("mark").eqNullSafe(F.col("m")) if marks else same
+        texts = docs.join(F.broadcast(wanted) if count <= BROADCAST_ROWS else wanted, same).select("cls", "s1", "text")
         new = table(sets_of(texts, words), "bags")
         if new.count() > count:  # repeated rows
             new = table(new.dropDuplicates(["cls"]), "bags")
@@ -281,8 +285,10 @@ def joined(docs: DataFrame, key: Column, text: Column, *, words: int = WORDS, nu
         stuck = not more(table(one.join(head, ["c", "a"]).join(two, "c").where(between).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "compare"))
     whole = named.join(root.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = whole.groupBy("root").agg(F.min("doc").alias("component"))
-    out = whole.join(least, "root").select("doc", "n", "s1", "component")
-    return out.unionByName(rows.where("n = 0").select("doc", "n", "s1", F.col("doc").alias("component")))
+    extra = ["mark", "root"] if marks else []
+    out = whole.join(least, "root").select("doc", "n", "s1", "component", *extra)
+    empty = rows.where("n = 0").withColumn("root", F.lit(None).cast("long"))
+    return out.unionByName(empty.select("doc", "n", "s1", F.col("doc").alias("component"), *extra))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -57,6 +57,18 @@ def test_near_copy_stage(kept):
     assert after == Counter({(k, t): 1 for k, t in before if least[(k, t)] == k})
 
 
+def test_near_copies_of_shared_and_null_ids(spark):
+    words = lambda name, n=60: [f"{name}{i}" for i in range(n)]
+    near = lambda w: " ".join([*w[:-1], "other"])
+    a, b, c = words("a"), words("b"), words("c")
+    rows = [(1, " ".join(a)), (None, near(a)), (None, "alone without an id"), (7, near(a)), (7, "alone under a shared id"), (8, " ".join(b)), (8, near(b)), (None, " ".join(c)), (None, near(c)), (9, "twice"), (9, "twice"), (None, ""), (7, None)]
+    docs = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter(texts(P.keep_one_of_near_copies(spark, docs, DIR)))
+    one = [[x for x in got if x in pair] for pair in ({rows[5], rows[6]}, {rows[7], rows[8]})]
+    assert [len(x) for x in one] == [1, 1]
+    assert got == Counter([rows[0], rows[2], rows[4], rows[9], rows[11], rows[12], *one[0], *one[1]])
+
+
 def test_mixing_stage(kept):
     size, source, times = {}, {}, Counter()
     for r in kept[3].collect():
