@@ -55,7 +55,8 @@ class Encoder:
     The vocabulary's pattern starts a token at every space that stands alone
     between other characters, so stretches cut there are encoded apart, and
     each distinct one only once. Texts in which a space meets other
-    whitespace are cut by the pattern itself.
+    whitespace are cut by the pattern itself. Added tokens, such as
+    ``<|endoftext|>``, are cut out first and are one id each.
     """
 
     def __init__(self, vocabulary: str):
@@ -67,7 +68,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        self.tokenizer.encode_special_tokens = True
+        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.between = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.meeting = re.compile(r"\s |\x20\s")
         self.white = [c for c in map(chr, range(1, 0x3001)) if c.isspace() and c not in " \n"]
@@ -77,6 +79,11 @@ class Encoder:
         self.letters = byte_letters()
 
     def stretches(self, text: str) -> list[str]:
+        if any(x in text for x in self.added):
+            return [y for x in self.between.split(text) if x for y in ([x] if x in self.added else self.plain_stretches(x))]
+        return self.plain_stretches(text)
+
+    def plain_stretches(self, text: str) -> list[str]:
         # Searches for fixed strings are much faster than the expression, and mostly settle it.
         if ("  " in text or " \n" in text or "\n " in text or any(c in text for c in self.white)) and self.meeting.search(text):
             return self.pattern.findall(text)
@@ -93,7 +100,9 @@ class Encoder:
         known, part = self.known, self.part
         for x in new:
             word = x[:-1]
-            if x[1:].isalpha() and x[0] == " ":
+            if x in self.added:
+                yield x, array("I", [self.added[x]]).tobytes()
+            elif x[1:].isalpha() and x[0] == " ":
                 yield x, part(x)
             elif x[-1:] in (".", ",") and word[1:].isalpha() and word[0] == " ":  # the pattern cuts before the mark
                 yield x, (known.get(word) or part(word)) + part(x[-1])

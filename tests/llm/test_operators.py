@@ -376,6 +376,17 @@ def test_stretches_are_the_tokenizers_own():
     assert encoder(texts) == want
 
 
+def test_added_tokens_are_one_id():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    texts = ["x<|endoftext|>y", "<|endoftext|>", "a  <|endoftext|> \n b<|endoftext|><|endoftext|>", " <|endoftext|>.", "<|endoftext|", "of <|ENDOFTEXT|> "]
+    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.Encoder(packing.VOCABULARY)(texts)] == want
+    assert want[0] == [87, 50256, 88]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 50, 5000, 300_000])
 def test_plan_uses_each_piece_once(n):
     h = np.bincount(np.random.default_rng(n).integers(1, 1024, n), minlength=1024) if n else np.zeros(1024, np.int64)
