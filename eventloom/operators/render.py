@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from math import sqrt
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ class Style:
             raise ValueError(f"unknown decay {self.decay!r}")
         if self.tau <= 0:
             raise ValueError("tau must be positive")
+        if not 0 <= self.minimum_clip < self.maximum_clip <= 1:
+            raise ValueError("clips must lie between 0 and 1, the minimum below the maximum")
 
     @property
     def signed(self) -> bool:
@@ -62,30 +65,36 @@ def last_events(df: DataFrame, frames: int) -> DataFrame:
 def activities(df: DataFrame, frames: int, start: int, period: float, tau: float) -> DataFrame:
     """``frame, x, y, off_sum, on_sum``: sums of exp(-(T - t) / tau) over a pixel's events until then.
 
-    Each packet is summed in the plan; the sums are carried from frame to
-    frame for each pixel, which is a short loop over its packets.
+    A packet's sum at its own label decays by exp(-(T' - T) / tau) until a
+    later label T'. So the sums of a pixel's packets are carried along in
+    order, one step for each of its packets, as they stream by; and from one
+    packet to the next every frame is a decayed copy of the last sum.
     """
-    decayed = F.exp(-(label(F.col("packet"), start, period) - F.col("t")) / tau)
+    at = lambda k: label(k, start, period)
+    decayed = F.exp(-(at(F.col("packet")) - F.col("t")) / tau)
     part = df.groupBy("packet", "x", "y").agg(F.sum(F.when(~F.col("on"), decayed).otherwise(0.0)).alias("off"), F.sum(F.when(F.col("on"), decayed).otherwise(0.0)).alias("on"))
 
-    def carry(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("packet")
-        first = int(pdf["packet"].iloc[0])
-        at = np.arange(first, frames)
-        labels = start + np.rint((at + 1.0) * period)
-        out = {"frame": at, "x": np.int32(pdf["x"].iloc[0]), "y": np.int32(pdf["y"].iloc[0])}
-        keep = np.exp(-np.diff(labels) / tau)
-        for name in ("off", "on"):
-            dense = np.zeros(frames - first)
-            dense[pdf["packet"].to_numpy() - first] = pdf[name]
-            for i in range(1, len(dense)):
-                dense[i] += dense[i - 1] * keep[i - 1]
-            out[f"{name}_sum"] = dense
-        return pd.DataFrame(out)
-
-    return part.groupBy("x", "y").applyInPandas(carry, "frame long, x int, y int, off_sum double, on_sum double")
+    def carry(batches):
+        pixel, last, off, on = None, 0.0, 0.0, 0.0
+        for batch in batches:
+            x, y, packet, own_off, own_on = (c.to_numpy() for c in batch.columns)
+            labels = np.rint((packet + 1.0) * period)
+            sums = np.empty((2, len(x)))
+            fade = np.exp(-np.diff(labels, prepend=last) / tau, where=np.diff(labels, prepend=last) >= 0, out=np.zeros(len(x)))
+            for i, key in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+                if key != pixel:
+                    pixel, off, on = key, 0.0, 0.0
+                off, on = off * fade[i] + own_off[i], on * fade[i] + own_on[i]
+                sums[:, i] = off, on
+            last = labels[-1] if len(labels) else last
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums[0]), pa.array(sums[1])], ["x", "y", "packet", "off", "on"])
+
+    lined = part.select("x", "y", "packet", "off", "on").repartition("x", "y").sortWithinPartitions("x", "y", "packet")
+    summed = lined.mapInArrow(carry, "x int, y int, packet long, off double, on double")
+    until = F.coalesce(F.lead("packet").over(Window.partitionBy("x", "y").orderBy("packet")), F.lit(frames))
+    held = summed.withColumn("until", until).select("x", "y", "packet", "off", "on", F.explode(F.sequence(F.col("packet"), F.col("until") - 1)).alias("frame"))
+    fade = F.exp(-(at(F.col("frame")) - at(F.col("packet"))).cast("double") / tau)
+    return held.select("frame", "x", "y", (F.col("off") * fade).alias("off_sum"), (F.col("on") * fade).alias("on_sum"))
 
 
 def _nearest(n: Column, share: float) -> Column:
@@ -93,11 +102,20 @@ def _nearest(n: Column, share: float) -> Column:
 
 
 def _clips(values: DataFrame, style: Style) -> DataFrame:
-    """For each frame the nearest-rank clips over its values above 0 (a frame has at most one for each pixel)."""
+    """For each frame the bounds ``lo < hi`` of what is shown (a frame has at most one value for each pixel).
+
+    These are the nearest-rank clips over the frame's values above 0; where
+    they coincide its least and greatest value, and where these do so too, the
+    value and one above it.
+    """
     over = values.where("v > 0")
     ranked = over.select("frame", "v", (F.row_number().over(Window.partitionBy("frame").orderBy("v")) - 1).alias("i"), F.count("*").over(Window.partitionBy("frame")).alias("n"))
-    low = F.lit(0.0) if style.minimum_clip == 0 else F.max(F.when(F.col("i") == _nearest(F.col("n"), style.minimum_clip), F.col("v")))
-    return ranked.groupBy("frame").agg(low.alias("lo"), F.max(F.when(F.col("i") == _nearest(F.col("n"), style.maximum_clip), F.col("v"))).alias("hi"))
+    rank = lambda share: F.max(F.when(F.col("i") == _nearest(F.col("n"), share), F.col("v")))
+    low = F.lit(0.0) if style.minimum_clip == 0 else rank(style.minimum_clip)
+    found = ranked.groupBy("frame").agg(low.alias("a"), rank(style.maximum_clip).alias("b"), F.min("v").alias("least"), F.max("v").alias("most"))
+    lo = F.when(F.col("a") < F.col("b"), F.col("a")).otherwise(F.col("least"))
+    hi = F.when(F.col("a") < F.col("b"), F.col("b")).when(F.col("least") < F.col("most"), F.col("most")).otherwise(F.col("least") + 1)
+    return found.select("frame", lo.alias("lo"), hi.alias("hi"))
 
 
 def _curve(u: Column, steps: int, gamma: float) -> Column:
@@ -122,7 +140,8 @@ def render(df: DataFrame, frames: int, start: int, period: float, style: Style)
         else:
             sums = sums.withColumns({"v": F.col("on_sum") + F.col("off_sum"), "half": F.lit(0)})
         sums = sums.join(_clips(sums, style), "frame", "left")
-        u = F.when(F.col("hi") > F.col("lo"), (F.least(F.greatest("v", "lo"), F.col("hi")) - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.when(F.col("v") > 0, 1.0).otherwise(0.0))
+        # A frame without a value above 0 has no bounds, and shows 0.
+        u = F.coalesce((F.least(F.greatest("v", "lo"), F.col("hi")) - F.col("lo")) / (F.col("hi") - F.col("lo")), F.lit(0.0))
         return sums.select("frame", t.alias("t"), "x", "y", "half", F.greatest(F.lit(0), F.least(F.lit(n - 1), _curve(u, n, style.gamma))).cast("int").alias("idx"), F.col("v").alias("value"))
     held = last_events(df, frames)
     age = (t - F.col("t_last")).cast("double")

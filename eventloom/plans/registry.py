@@ -251,15 +251,16 @@ for _name, _map, _n, _half in (("sequential", GREY, 255, "0"), ("diverging", SIG
     query(f"render_window_{_name}", _shown(f"CASE WHEN {_age} <= {TAU} THEN {_n} ELSE 0 END", f"CASE WHEN {_age} <= {TAU} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END", _half))(_rendered("window", _map))
 
 
-def _cumulative(source: str, n: int, low: str, gamma: float) -> str:
+def _cumulative(source: str, n: int, low: str, gamma: float, high: float = 0.99, base: str | None = None) -> str:
     curve = f"round(u * {n}, 0)"
     if gamma:
         rho = 2 + gamma * gamma if gamma < 0 else -2 - gamma * gamma
         sigma = (rho * rho - 4) ** 0.5
         curve = f"round(u / (u * {2 * sigma / (n * (rho + sigma))!r}::DOUBLE + {(rho - sigma) / (n * (rho + sigma))!r}::DOUBLE), 0)"
-    return _SUMS + f""", s AS ({source}), k AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY frame) AS n FROM s WHERE v > 0),
-    c AS (SELECT frame, {low} AS lo, max(v) FILTER (WHERE i = round((n - 1) * 0.99::DOUBLE, 0)) AS hi FROM k GROUP BY frame),
-    w AS (SELECT s.*, CASE WHEN hi > lo THEN (least(greatest(v, lo), hi) - lo) / (hi - lo) WHEN v > 0 THEN 1.0 ELSE 0.0 END AS u FROM s LEFT JOIN c ON s.frame = c.frame)
+    return (base or _SUMS) + f""", s AS ({source}), k AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY frame) AS n FROM s WHERE v > 0),
+    c0 AS (SELECT frame, {low} AS a, max(v) FILTER (WHERE i = round((n - 1) * {high}::DOUBLE, 0)) AS b, min(v) AS least, max(v) AS most FROM k GROUP BY frame),
+    c AS (SELECT frame, CASE WHEN a < b THEN a ELSE least END AS lo, CASE WHEN a < b THEN b WHEN least < most THEN most ELSE least + 1 END AS hi FROM c0),
+    w AS (SELECT s.*, coalesce((least(greatest(v, lo), hi) - lo) / (hi - lo), 0) AS u FROM s LEFT JOIN c ON s.frame = c.frame)
     SELECT frame, t, x, y, half, CAST(greatest(0, least({n}, {curve})) AS INTEGER) AS idx, round(v, 6) AS value FROM w"""
 
 
@@ -268,6 +269,18 @@ _SIDES = "SELECT frame, t, x, y, greatest(off_sum, on_sum) AS v, CASE WHEN on_su
 query("render_cumulative_sequential", _cumulative(_BOTH, 255, "0.0::DOUBLE", 0))(_rendered("cumulative", GREY))
 query("render_cumulative_diverging", _cumulative(_SIDES, 128, "0.0::DOUBLE", 0))(_rendered("cumulative", SIGNED))
 query("render_cumulative_gamma_clip", _cumulative(_BOTH, 255, "max(v) FILTER (WHERE i = round((n - 1) * 0.1::DOUBLE, 0))", 1.5))(_rendered("cumulative", GREY, minimum_clip=0.1, gamma=1.5))
+_LOW = "max(v) FILTER (WHERE i = round((n - 1) * {}::DOUBLE, 0))"
+query("render_cumulative_diverging_clip", _cumulative(_SIDES, 128, _LOW.format(0.2), 0, 0.7))(_rendered("cumulative", SIGNED, minimum_clip=0.2, maximum_clip=0.7))
+
+#: One pixel by day 2, two until day 4 and all from then on: clips coincide in the first frames.
+_FEW = "((t < 2 * 86400000000 AND x = 3 AND y = 4) OR (t >= 2 * 86400000000 AND t < 4 * 86400000000 AND x IN (3, 9) AND y = 4) OR t >= 4 * 86400000000)"
+
+
+@query("render_cumulative_clip_degenerate", _cumulative(_BOTH, 255, _LOW.format(0.6), 0, 0.65, _SUMS.replace("FROM e, r)", f"FROM e, r WHERE {_FEW})", 1)))
+def render_cumulative_clip_degenerate(spark, d):
+    s = stream(spark, d)
+    out = s.apply(lambda df: df.where(_FEW)).regularize(DAILY, start=s.time_range()[0]).render("cumulative", TAU, GREY, minimum_clip=0.6, maximum_clip=0.65).pixels
+    return out.select("frame", "t", "x", "y", "half", "idx", F.round("value", 6).alias("value"))
 
 
 @query("render_colors", _LAST + f", q AS (SELECT frame, t, x, y, CAST(round(255 * exp(-(t - t_last)::DOUBLE / {TAU}), 0) AS INTEGER) AS idx FROM v) SELECT frame, t, x, y, idx, 255 AS a FROM q")
