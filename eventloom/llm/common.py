@@ -42,7 +42,93 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``table`` has made and no later plan reads."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key is hot when it holds more than one in so many of the rows, so there are never more hot keys than this.
+SHARE = 10_000
+#: A key of at most so many rows is never split.
+WHOLE_KEY = 64
+#: Tables are broadcast up to this size, and joined by a shuffle beyond.
+BROADCAST_BYTES = 16_000_000
+
+
+def fits_broadcast(right: DataFrame, width: int) -> bool:
+    """Whether ``right`` (a stored table, or cheap to count), of about ``width`` bytes a row, is small enough to broadcast."""
+    most = BROADCAST_BYTES // width
+    return right.limit(most + 1).count() <= most
+
+
+def hot_parts(counts: DataFrame, on: list[str], total: int) -> DataFrame:
+    """``on, parts`` for the hot keys of ``counts`` (on, times), whose times add up to at most ``total``.
+
+    At most ``SHARE`` rows, whatever the data, and parts that add up to twice that.
+    """
+    unit = max(total // SHARE, WHOLE_KEY)
+    return counts.where(F.col("times") > unit).select(*on, F.ceil(F.col("times") / unit).cast("int").alias("parts"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], parts: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right``, where rows of a hot key of ``left`` are dealt out by the hash of ``by``, and the key's rows in ``right`` are repeated for each part."""
+    parts = F.broadcast(parts)
+    dealt = left.join(parts, on, "left").withColumn("_part", F.pmod(F.xxhash64(*by), F.coalesce("parts", F.lit(1)).cast("long")).cast("int")).drop("parts")
+    there = right.join(parts, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(there, [*on, "_part"], how).drop("_part")
+
+
+def lookup(left: DataFrame, right: DataFrame, on: str, by: list[str], *, width: int = 16, how: str = "inner") -> DataFrame:
+    """``left``, a stored table, joined to ``right`` by the column ``on``: by a broadcast while ``right`` is small, else by a shuffle that splits hot keys."""
+    if fits_broadcast(right, width):
+        return left.join(F.broadcast(right), on, how)
+    counts = left.groupBy(on).agg(F.count("*").alias("times"))
+    return spread_join(left, right, [on], hot_parts(counts, [on], left.count()), by, how)
+
+
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as it takes to clash with no column of ``docs``."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def same_row(key: Column, text: Column) -> list[Column]:
+    """Columns ``_id`` and ``_text`` by which rows of equal key and text can be joined, of null ones too."""
+    return [key_name(key).alias("_id"), F.xxhash64(text.isNull(), text).alias("_text")]
+
+
+def key_name(key: Column) -> Column:
+    """A string for each key, and one for null."""
+    return F.concat(F.when(key.isNull(), F.lit("n")).otherwise(F.lit("k")), F.coalesce(key.cast("string"), F.lit("")))
+
+
+def with_found(docs: DataFrame, key: str, text: str, found: DataFrame, width: int) -> DataFrame:
+    """``row`` (all of a row of ``docs`` as a struct), ``text``, and the columns of ``found`` (_id, _text, ..., a stored table of about ``width`` bytes a row) or nulls.
+
+    While ``found`` is small the texts don't move; beyond that they are
+    shuffled once, and rows that repeat very often are split.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), *same_row(F.col(key), F.col(text)))
+    if fits_broadcast(found, width):
+        return rows.join(F.broadcast(found), ["_id", "_text"], "left").drop("_id", "_text")
+    counts = rows.groupBy("_id", "_text").agg(F.count("*").alias("times"))
+    many = table(counts.where(F.col("times") > WHOLE_KEY), "repeated")
+    parts = hot_parts(many, ["_id", "_text"], many.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0])
+    rows = rows.withColumn("_any", F.monotonically_increasing_id())  # only deals rows out; any value will do
+    return spread_join(rows, found, ["_id", "_text"], parts, ["_any"], "left").drop("_id", "_text", "_any")
 
 
 def words_in(text: Column) -> Column:
