@@ -1,21 +1,40 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model.
 
-For each language a model of ``ORDER`` symbols is trained on trusted text
-(documents labelled as of good quality, all of them). Symbols are classes of
-bytes (``SYMBOLS`` of them), so a language has at most SYMBOLS ** ORDER grams
-whatever the corpus: that bound is what allows the finished model to be
-broadcast. Counts, continuation counts, discounts and back-off weights are
-made by aggregations and joins sharded by language and gram. A document's
-perplexity is then looked up in its own task, and documents above a quantile
-of the trusted perplexities of their language are rejected.
-
-Short texts say little: ``PRIOR`` symbols at the language's trusted mean are
+For each language a model of ``ORDER`` characters is trained on trusted text
+(documents labelled as of good quality, all of them). Characters are code
+points as they are, of any script; a run of whitespace is one space. Counts,
+continuation counts, discounts and back-off weights are made by aggregations
+and joins sharded by language and gram, so the model grows with the trusted
+text and nothing bounds it.
+
+The logarithm of a document's probability is a sum over the grams of each
+size that end at its characters: a gram of the model adds what it changes
+against the next shorter one, and, as a context, its back-off weight; other
+grams add nothing. So scoring is one join of documents' grams with the model.
+While the model's size allows (``BROADCAST_GRAMS``) the join is a look-up in
+the task that reads the text; beyond that each document's distinct grams with
+their counts are joined with the sharded model by a shuffle in which frequent
+grams are split. Both give the same sums.
+
+Two quantiles of the trusted perplexities of a language are its limits:
+documents above the upper one are noise, those below the lower one are
+abnormally easy to tell (the same words over and over). A model knows the texts
+it was trained on better than others as good. So one in ``FOLDS`` of the
+trusted texts, by a hash of the text, is left out of the training and sets the
+upper limit, and the others set the lower one. Perplexities count in
+steps of 1 / ``STEPS`` of their logarithm, so that quantiles are exact sums of
+counts and don't depend on the order of rows.
+
+Short texts say little: ``PRIOR`` characters at the language's trusted mean are
 added to each text before its perplexity is taken.
 
 Defined results: a null language is a language of its own; languages without
 trusted text are judged by the model of all trusted text together; a null or
 empty text has the perplexity of the mean, and stays; with no trusted text at
-all every document stays, with a null perplexity. Rows are judged one by one.
+all every document stays, with a null perplexity; an empty table gives one.
+Rows are judged one by one, repeated ones alike, and texts of any length are
+cut into pieces in their own task. Further columns stay, whatever their names:
+the three that are added take free names.
 """
 
 from __future__ import annotations
@@ -29,69 +48,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.common import read, table
+from eventloom.llm.common import discard, fits_broadcast, free_names, hot_parts, key_name, read, spread_join, table
 
-SYMBOLS, ORDER = 48, 4
-QUANTILE = 0.995
+ORDER = 5
+#: Limits on the trusted perplexities of a language.
+LOWER, UPPER = 0.002, 0.995
+#: Limit on the share of the most frequent gram in trusted texts.
+REPEATS = 0.998
+FOLDS = 4
 PRIOR = 96
-#: Trusted ids are broadcast up to this many rows (8 bytes each), and joined by a shuffle beyond.
-BROADCAST_ROWS = 1_000_000
+STEPS = 10_000
+#: A model of at most so many grams (16 bytes each) is broadcast; a larger one is joined by a shuffle.
+BROADCAST_GRAMS = 4_000_000
 #: The key of the model of all languages together, and of a null language.
 ALL, NONE = "*", ""
-PAD = 1
-
-
-def symbol_table() -> np.ndarray:
-    """The class of each byte: space, line break, 26 letters, capital, digit, single marks, other marks, and bytes of longer characters."""
-    out = np.full(256, 39, np.int32)
-    out[128:192] = 41 + np.arange(64) % 7
-    out[192:] = 40
-    out[[9, 32]] = 0
-    out[[10, 13]] = PAD
-    for c in range(26):
-        out[97 + c] = 2 + c
-        out[65 + c] = 28
-    out[48:58] = 29
-    for i, c in enumerate(b".,'-!?:|"):
-        out[c] = 30 + i
-    for c in b'"()[]{}<>`;':
-        out[c] = 38
-    return out
-
-
-_CLASSES = symbol_table()
-_STEP = 1 << 21
-
-
-def _texts(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string array and the start of each text, with the end of the last."""
-    array = pc.fill_null(array, "").cast(pa.large_string())
-    offsets = np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1]
-    data = np.frombuffer(array.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(array) else np.empty(0, np.uint8)
-    return data, offsets - (offsets[0] if len(offsets) else 0)
-
-
-def grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The gram that ends at each byte; before a text's first byte stands a line break."""
-    now = _CLASSES[data]
-    back = [np.concatenate((np.full(k, PAD, np.int32), now[:-k])) if len(now) > k else np.full(len(now), PAD, np.int32) for k in range(1, ORDER)]
-    for k in range(ORDER - 1):
-        at = starts[starts + k < ends] + k
-        for b in back[k:]:
-            b[at] = PAD
-    out = back[-1]
-    for b in (*back[-2::-1], now):
-        out = out * SYMBOLS + b
-    return out
+#: What stands before a text, as a character.
+PAD = 2
+#: Texts are taken in slices of about so many characters.
+_SLICE = 1 << 21
+_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def characters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts, whitespace runs as one space, each text after ``ORDER - 1`` pads; and where each text starts, with the end of the last."""
+    pad = chr(PAD) * (ORDER - 1)
+    data = np.frombuffer((pad + pad.join(t or "" for t in texts) if texts else "").encode("utf-32-le", "replace"), np.uint32)
+    lengths = np.array([len(t or "") for t in texts], np.int64)
+    starts = np.concatenate(([0], np.cumsum(lengths + ORDER - 1)))
+    space = (data == 32) | ((data >= 9) & (data <= 13)) | (data == 0)
+    keep = np.ones(len(data), bool)
+    keep[1:] = ~(space[1:] & space[:-1])
+    data = np.where(space, np.uint32(32), data)[keep]
+    return data, np.concatenate(([0], np.cumsum(keep)))[starts]
+
+
+def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``_SLICE`` characters together."""
+    i = 0
+    while i < len(texts):
+        j, held = i, 0
+        while j < len(texts) and (j == i or held + len(texts[j] or "") <= _SLICE):
+            held += len(texts[j] or "") + ORDER
+            j += 1
+        yield i, j
+        i = j
+
+
+def hashes(data: np.ndarray) -> Iterator[np.ndarray]:
+    """For sizes 1 to ORDER the hash of the gram that ends at each character (those before the first count as 0)."""
+    wide, run, power = data.astype(np.uint64), np.zeros(len(data), np.uint64), 1
+    for size in range(1, ORDER + 1):
+        run[size - 1 :] += wide[: len(wide) - size + 1] * np.uint64(power)
+        power = power * int(_P) % (1 << 64)
+        x = (run ^ (run >> np.uint64(31))) * _Q + np.uint64(size)
+        yield x ^ (x >> np.uint64(29))
 
 
-def _slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``_STEP`` bytes together."""
-    i, n = 0, len(offsets) - 1
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _STEP, "right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
+def _own(starts: np.ndarray, count: int) -> np.ndarray:
+    """Which characters aren't pads."""
+    own = np.ones(count, bool)
+    own[(starts[:-1, None] + np.arange(ORDER - 1)).ravel()] = False
+    return own
 
 
 def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
@@ -101,152 +118,302 @@ def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
 
 
 def counted(trusted: DataFrame) -> DataFrame:
-    """``lang, gram, n`` over ``trusted`` (lang, text), for each language and for all together."""
+    """``lang, gram, n``: the grams of ORDER characters in ``trusted`` (lang, text), of each language and of all together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = np.zeros(SYMBOLS**ORDER, np.int64)
-            parts = []
             for lang, rows in _by_language(batch):
-                data, offsets = _texts(batch.column(1).take(pa.array(rows)))
-                own = np.zeros(SYMBOLS**ORDER, np.int64)
-                for i, j in _slices(offsets):
-                    at = offsets[i : j + 1] - offsets[i]
-                    own += np.bincount(grams(data[offsets[i] : offsets[j]], at[:-1], at[1:]), minlength=len(own))
-                whole += own
-                parts.append((lang, own))
-            for lang, own in [*parts, (ALL, whole)]:
-                there = np.flatnonzero(own)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(there), pa.string()), pa.array(there, pa.int64()), pa.array(own[there], pa.int64())], ["lang", "gram", "n"])
-
-    made = trusted.select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
-    return made.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+                texts = batch.column(1).take(pa.array(rows)).to_pylist()
+                for i, j in _slices(texts):
+                    data, starts = characters(texts[i:j])
+                    *_, whole = hashes(data)
+                    at = np.flatnonzero(_own(starts, len(data)))
+                    _, first, n = np.unique(whole[at], return_index=True, return_counts=True)
+                    if len(n):
+                        windows = data[at[first][:, None] + np.arange(1 - ORDER, 1)]
+                        grams = np.ascontiguousarray(windows).view(f"<U{ORDER}").ravel()
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(grams.tolist(), pa.string()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+
+    made = trusted.select("lang", "text").mapInArrow(run, "lang string, gram string, n long")
+    own = table(made.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    return own.unionByName(own.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("lang"), "gram", "n"))
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
     """Modified Kneser-Ney discounts d1, d2, d3 of each language, from the counts of counts (with stand-ins where these are 0)."""
-    of = [F.greatest(F.sum(F.when(F.col("n") == k, 1).otherwise(0)), F.lit(0)).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
+    of = [F.sum(F.when(F.col("n") == k, 1).otherwise(0)).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
     part = lambda k, stand: F.when((F.col(f"n{k}") > 0) & (F.col("n1") > 0), F.greatest(F.lit(0.05), F.least(F.lit(k - 0.05), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")))).otherwise(F.lit(stand)).alias(f"d{k}")
     return counts.groupBy("lang").agg(*of).select("lang", part(1, 0.5), part(2, 0.75), part(3, 0.9))
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
-    """``lang, size, gram, value``: for sizes 1 to ORDER the probability of each gram seen, and for sizes -1 to -ORDER the back-off weight of each context of that gram size.
+    """A table ``lang, gram, gain, back`` of grams of up to ORDER characters.
 
-    Below the highest order a gram's count is the number of symbols seen
-    before it. Each order joins its counts with their discounts and context
-    sums, and with the next lower order's probabilities.
+    ``gain`` is what a gram adds to the logarithm of its last character's
+    probability against the next shorter gram, ``back`` the logarithm of its
+    back-off weight as a context. The empty gram's gain is the logarithm of an
+    unknown character's probability.
+
+    Below the highest order a gram's count is the number of characters seen
+    before it. Each order joins its counts with its context sums, and with the
+    next lower order's probabilities.
     """
-    level = {ORDER: counts}
+    level = {ORDER: table(counts, "order")}
     for size in range(ORDER - 1, 0, -1):
-        level[size] = level[size + 1].groupBy("lang", (F.col("gram") % SYMBOLS**size).alias("gram")).agg(F.count("*").alias("n"))
-    out, lower = None, None
+        level[size] = table(level[size + 1].groupBy("lang", F.substring("gram", 2, size).alias("gram")).agg(F.count("*").alias("n")), "order")
+    lower, out = None, None
     for size in range(1, ORDER + 1):
-        cut = level[size].join(_discounts(level[size]), "lang").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-        cut = cut.withColumn("context", F.floor(F.col("gram") / SYMBOLS))
-        context = cut.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("weight"))
-        own = cut.join(context, ["lang", "context"])
-        base = F.lit(1.0 / SYMBOLS)
-        if lower is not None:
-            own = own.withColumn("suffix", F.col("gram") % SYMBOLS ** (size - 1)).join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below")), ["lang", "suffix"])
-            base = F.col("below")
-        lower = table(own.select("lang", "gram", ((F.col("n") - F.col("d")) / F.col("total") + F.col("weight") * base).alias("p"), "context", "weight"), f"order{size}")
-        rows = lower.select("lang", F.lit(size).alias("size"), "gram", F.col("p").alias("value"))
-        rows = rows.unionByName(lower.select("lang", F.lit(-size).alias("size"), F.col("context").alias("gram"), F.col("weight").alias("value")).distinct())
-        out = rows if out is None else out.unionByName(rows)
+        found = _discounts(level[size])  # a row for each language
+        cut = level[size].join(F.broadcast(found) if fits_broadcast(found, 64) else found, "lang")
+        cut = cut.withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))).withColumn("context", F.substring("gram", 1, size - 1))
+        context = table(cut.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.log(F.sum("d") / F.sum("n")).alias("back"), F.count("*").alias("times")), "contexts")
+        if lower is None:  # one context, the empty one, for each language
+            own = cut.join(F.broadcast(context) if fits_broadcast(context, 64) else context, ["lang", "context"]).withColumn("below", -F.log(F.col("times") + 1))
+            out = own.select("lang", F.lit("").alias("gram"), (F.col("back") + F.col("below")).alias("gain"), F.lit(0.0).alias("back")).distinct()
+        else:
+            parts = hot_parts(context, ["lang", "context"], context.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0])
+            own = spread_join(cut, context.drop("times"), ["lang", "context"], parts, ["gram"])
+            own = own.withColumn("suffix", F.substring("gram", 2, size - 1)).join(lower.select("lang", F.col("gram").alias("suffix"), F.col("logp").alias("below")), ["lang", "suffix"])
+            out = out.unionByName(context.select("lang", F.col("context").alias("gram"), F.lit(0.0).alias("gain"), "back"))
+        logp = F.log((F.col("n") - F.col("d")) / F.col("total") + F.exp(F.col("back") + F.col("below")))
+        lower = table(own.select("lang", "gram", logp.alias("logp"), (logp - F.col("back") - F.col("below")).alias("gain")), "logp")
+        out = out.unionByName(lower.select("lang", "gram", "gain", F.lit(0.0).alias("back")))
+    return table(out.groupBy("lang", "gram").agg(F.sum("gain").alias("gain"), F.sum("back").alias("back")), "model")
+
+
+def gram_hashes(grams: np.ndarray) -> np.ndarray:
+    """The hashes of strings of 1 to ORDER characters (of one length), as ``hashes`` gives them."""
+    size = len(grams[0])
+    data = np.ascontiguousarray(grams.astype(f"<U{size}")).view(np.uint32)
+    return list(hashes(data))[size - 1][size - 1 :: size]
+
+
+def hashed(model: DataFrame) -> DataFrame:
+    """``lang, hash, gain, back`` of the model; the empty gram has the hash 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = np.array(batch.column(1).to_pylist(), object)
+            sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+            out = np.zeros(len(grams), np.uint64)
+            for size in np.unique(sizes[sizes > 0]):
+                out[sizes == size] = gram_hashes(grams[sizes == size])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64)), batch.column(2), batch.column(3)], ["lang", "hash", "gain", "back"])
+
+    return model.select("lang", "gram", F.col("gain").cast("float"), F.col("back").cast("float")).mapInArrow(run, "lang string, hash long, gain float, back float")
+
+
+class Lookup:
+    """Grams by hash, by open addressing in arrays."""
+
+    def __init__(self, keys: np.ndarray, gain: np.ndarray, back: np.ndarray):
+        size = 1 << max(4, (2 * len(keys)).bit_length())
+        self.mask = np.uint64(size - 1)
+        self.keys, self.gain, self.back, used = np.zeros(size, np.uint64), np.zeros(size, np.float32), np.zeros(size, np.float32), np.zeros(size, bool)
+        left, slot = np.arange(len(keys)), (keys & self.mask).astype(np.int64)
+        self.probes = 0
+        while len(left):
+            free = ~used[slot]
+            spots, first = np.unique(slot[free], return_index=True)
+            now = left[free][first]
+            used[spots], self.keys[spots], self.gain[spots], self.back[spots] = True, keys[now], gain[now], back[now]
+            stay = np.ones(len(left), bool)
+            stay[np.flatnonzero(free)[first]] = False
+            left, slot = left[stay], (slot[stay] + 1) & int(self.mask)
+            self.probes += 1
+
+    def add(self, h: np.ndarray, gain: np.ndarray, back: np.ndarray) -> None:
+        """Adds the values of the grams that are known to ``gain`` and ``back``."""
+        at, slot = None, (h & self.mask).astype(np.int64)
+        for k in range(self.probes):
+            now = slot if at is None else (slot[at] + k) & int(self.mask)
+            same = self.keys[now] == (h if at is None else h[at])
+            spots, places = (np.flatnonzero(same), now[same]) if at is None else (at[same], now[same])
+            gain[spots] += self.gain[places]
+            back[spots] += self.back[places]
+            # An empty slot ends the search; its key is 0.
+            go = ~same & (self.keys[now] != 0)
+            at = np.flatnonzero(go) if at is None else at[go]
+            if not len(at):
+                return
+
+
+def most_frequent(whole: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How often the most frequent gram of ORDER characters stands in each text."""
+    out = np.zeros(len(starts) - 1, np.int64)
+    for i, (a, b) in enumerate(zip(starts[:-1] + ORDER - 1, starts[1:], strict=True)):
+        if a < b:
+            runs = np.sort(whole[a:b])
+            edges = np.flatnonzero(np.concatenate(([True], runs[1:] != runs[:-1], [True])))
+            out[i] = (edges[1:] - edges[:-1]).max()
     return out
 
 
-def dense(size: np.ndarray, gram: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Log probabilities of all SYMBOLS ** ORDER grams of a language, seen or not."""
-    below = np.full(1, 1.0 / SYMBOLS)
-    for k in range(1, ORDER + 1):
-        weight = np.ones(SYMBOLS ** (k - 1))
-        weight[gram[size == -k]] = value[size == -k]
-        p = (weight[:, None] * np.tile(below, len(weight) * SYMBOLS // len(below)).reshape(-1, SYMBOLS)).ravel()
-        p[gram[size == k]] = value[size == k]
-        below = p
-    return np.log(below).astype(np.float32)
-
-
-class Scorer:
-    """Sums of log probabilities by language, from the model's columns; built lazily in each worker, a few languages at a time."""
-
-    def __init__(self, model: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        self.model, self.tables = model, {}
-
-    def table(self, lang: str) -> np.ndarray | None:
-        lang = lang if lang in self.model else ALL
-        if lang not in self.model:
-            return None
-        if lang not in self.tables:
-            while len(self.tables) >= 6:
-                self.tables.pop(next(iter(self.tables)))
-            self.tables[lang] = dense(*self.model[lang])
-        return self.tables[lang]
-
-    def sums(self, lang: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """For each text its log probability and its number of symbols."""
-        data, offsets = _texts(texts)
-        sizes, total, known = np.diff(offsets), np.zeros(len(texts)), self.table(lang)
-        for i, j in _slices(offsets):
-            at = offsets[i : j + 1] - offsets[i]
-            run = np.concatenate(([0.0], np.cumsum(known[grams(data[offsets[i] : offsets[j]], at[:-1], at[1:])], dtype=np.float64)))
-            total[i:j] = run[at[1:]] - run[at[:-1]]
-        return total, sizes
-
-
-def collected(model: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The model on the driver; bounded by the number of languages times a little more than SYMBOLS ** ORDER rows."""
-    rows = model.toArrow()
-    lang = np.array(rows["lang"].to_pylist(), object)
-    columns = [rows[c].to_numpy() for c in ("size", "gram", "value")]
-    return {x: tuple(np.ascontiguousarray(c[lang == x]) for c in columns) for x in sorted(set(lang))}
-
-
-def scored(docs: DataFrame, model: dict, lang: str, text: str) -> DataFrame:
-    """``docs`` with ``_logp`` and ``_symbols``; map-only."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+def sums(texts: list[str | None], known: Lookup, base: float, start: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text the logarithm of its probability, its number of characters, and how often its most frequent gram stands in it."""
+    total, sizes, most = np.zeros(len(texts)), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    for i, j in _slices(texts):
+        data, starts = characters(texts[i:j])
+        gain, back = np.zeros(len(data), np.float32), np.zeros(len(data), np.float32)
+        for h in hashes(data):
+            known.add(h, gain, back)
+        own = _own(starts, len(data))
+        gain[~own] = back[~own] = 0
+        n = np.diff(starts) - (ORDER - 1)
+        run = np.concatenate(([0.0], np.cumsum(gain, dtype=np.float64) + np.cumsum(back, dtype=np.float64)))
+        last = np.where(n > 0, back[np.maximum(starts[1:] - 1, 0)], 0.0) if len(data) else 0.0
+        total[i:j] = np.where(n > 0, run[starts[1:]] - run[starts[:-1]] - last + n * base + start, 0.0)
+        sizes[i:j], most[i:j] = n, most_frequent(h, starts)
+    return total, sizes, most
+
+
+def _constants(model: DataFrame) -> dict[str, tuple[float, float]]:
+    """For each language the logarithm of an unknown character's probability, and the back-off weights at a text's start; a few rows for each language."""
+    rows = model.where((F.length("gram") < ORDER) & (F.translate("gram", chr(PAD), "") == "")).collect()
+    return {lang: (sum(r.gain for r in rows if r.lang == lang and not r.gram), sum(r.back for r in rows if r.lang == lang and r.gram)) for lang in sorted({r.lang for r in rows})}
+
+
+def scored(docs: DataFrame, model: DataFrame, lang: str, text: str) -> DataFrame:
+    """``row`` (all of a row of ``docs`` as a struct), ``named`` (the language whose model counts, or null), ``logp``, ``symbols`` and ``most`` (how often the most frequent gram stands in the text)."""
+    constants = _constants(model)
+    known = F.coalesce(F.col(lang), F.lit(NONE))
+    named = F.when(known.isin(sorted(constants)), known).otherwise(F.lit(ALL) if ALL in constants else F.lit(None)).alias("named")
+    rows = docs.select(F.struct("*").alias("row"), named)
+    place = docs.columns.index(text)
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("named", T.StringType()), T.StructField("logp", T.DoubleType()), T.StructField("symbols", T.LongType()), T.StructField("most", T.LongType())])
+    if model.limit(BROADCAST_GRAMS + 1).count() > BROADCAST_GRAMS:
+        return _joined(rows.withColumn("text", F.col("row").getField(text)), model, constants)
+    got = hashed(model).where("hash != 0").toArrow()
+    langs = np.array(got["lang"].to_pylist(), object)
+    columns = [got["hash"].to_numpy().view(np.uint64), *(got[c].to_numpy() for c in ("gain", "back"))]
+    sent = docs.sparkSession.sparkContext.broadcast({x: [np.ascontiguousarray(c[langs == x]) for c in columns] for x in constants})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
+        tables: dict[str, Lookup] = {}
         for batch in batches:
-            texts, logp, sizes = batch.column(names.index(text)), np.zeros(len(batch)), np.zeros(len(batch), np.int64)
-            for name, rows in _by_language(batch.select([lang])):
-                if scorer.table(name) is not None:
-                    logp[rows], sizes[rows] = scorer.sums(name, texts.take(pa.array(rows)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logp), pa.array(sizes)], [*names, "_logp", "_symbols"])
+            logp, sizes, most = np.zeros(len(batch)), np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            for name, places in _by_language(batch.select([1])):
+                if name in constants:
+                    if name not in tables:
+                        tables[name] = Lookup(*sent.value[name])
+                    logp[places], sizes[places], most[places] = sums(batch.column(0).field(place).take(pa.array(places)).to_pylist(), tables[name], *constants[name])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(logp), pa.array(sizes), pa.array(most)], ["row", "named", "logp", "symbols", "most"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_logp", T.DoubleType()), T.StructField("_symbols", T.LongType())])
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
+
+
+def _joined(rows: DataFrame, model: DataFrame, constants: dict[str, tuple[float, float]]) -> DataFrame:
+    """``scored`` for a model of any size: each text's distinct grams are joined with it by a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = []
+            for t in batch.column(2).to_pylist():
+                data, starts = characters([t])
+                own = _own(starts, len(data))
+                parts = [np.empty((0, 3), np.int64)]
+                for h in hashes(data):
+                    found, at, n = np.unique(h[own], return_inverse=True, return_counts=True)
+                    inner = n.copy()  # a text's last gram is no context
+                    if len(at):
+                        inner[at[-1]] -= 1
+                    parts.append(np.stack((found.view(np.int64), n, inner), 1))
+                grams.append(np.concatenate(parts))
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(g) for g in grams]))).astype(np.int32))
+            flat = np.concatenate([np.empty((0, 3), np.int64), *grams])
+            held = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, k])) for k in range(3)], names=["hash", "n", "inner"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, held)], ["id", "named", "grams"])
+
+    marked = rows.withColumns({"mark": F.xxhash64(F.col("text").isNull(), "text"), "second": F.xxhash64(F.lit(1), "text")})
+    texts = marked.where("named IS NOT NULL").groupBy("named", "mark", "second").agg(F.first("text").alias("text"))  # equal texts of a language once
+    stored = table(texts.select(F.struct("mark", "second").alias("id"), "named", "text"), "texts")
+    found = stored.mapInArrow(run, "id struct<mark: long, second: long>, named string, grams array<struct<hash: long, n: long, inner: long>>")
+    found = found.select("id", F.col("named").alias("lang"), F.explode("grams").alias("g")).select("id", "lang", "g.*")
+    values = table(hashed(model).where("hash != 0"), "values")
+    counts = table(found.groupBy("lang", "hash").agg(F.count("*").alias("times")).where("times > 64"), "frequent")
+    parts = hot_parts(counts, ["lang", "hash"], counts.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0])
+    met = spread_join(found, values, ["lang", "hash"], parts, ["id"])
+    total = met.groupBy("id", "lang").agg(F.sum(F.col("n") * F.col("gain").cast("double") + F.col("inner") * F.col("back").cast("double")).alias("sum"))
+
+    def counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, most = [], []
+            for t in batch.column(2).to_pylist():
+                data, starts = characters([t])
+                *_, whole = hashes(data)
+                sizes.append(len(data) - (ORDER - 1))
+                most.append(int(most_frequent(whole, starts)[0]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(most, pa.int64())], ["id", "lang", "symbols", "most"])
+
+    sized = stored.mapInArrow(counts_of, "id struct<mark: long, second: long>, lang string, symbols long, most long")
+    by = F.create_map(*[F.lit(x) for lang, (base, start) in constants.items() for x in (lang, F.array(F.lit(base), F.lit(start)))]) if constants else F.lit(None).cast("map<string, array<double>>")
+    value = F.when(F.col("symbols") > 0, F.coalesce("sum", F.lit(0.0)) + F.col("symbols") * by[F.col("lang")][0] + by[F.col("lang")][1]).otherwise(F.lit(0.0))
+    done = table(sized.join(total, ["id", "lang"], "left").select(F.col("id.mark").alias("mark"), F.col("id.second").alias("second"), F.col("lang").alias("named"), value.alias("logp"), "symbols", "most"), "scores")
+    discard(stored, values, counts)
+    whole = marked.join(done, ["mark", "second", "named"], "left")
+    return whole.select("row", "named", F.coalesce("logp", F.lit(0.0)).alias("logp"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("symbols", "most")])
 
 
 def _trusted(docs: DataFrame, labels: DataFrame, key: str, good: str) -> DataFrame:
-    ids = labels.where(F.col(good) == 1).select(F.col("doc_id").alias(key)).where(F.col(key).isNotNull()).distinct()
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(ids) if few else ids, key, "left_semi")
+    ids = labels.where(F.col(good) == 1).select(key_name(F.col("doc_id")).alias("_id")).where(F.col("doc_id").isNotNull()).distinct()
+    ids = F.broadcast(ids) if fits_broadcast(ids, 24) else ids
+    return docs.join(ids, key_name(F.col(key)) == F.col("_id"), "left_semi")
+
+
+def limits(own: DataFrame, lower: float, upper: float, repeats: float) -> list[tuple[str, float, float, float, float]]:
+    """``named, mean, least, limit, repeats`` for each language of ``own`` (named, mean, held, logp, symbols, most), by exact nearest ranks over counts of steps."""
+    kinds = F.array(F.struct(F.lit(0).alias("kind"), _step(_log_perplexity()).alias("step")), F.struct(F.lit(1).alias("kind"), _step(_repeated()).alias("step")))
+    steps = own.where("mean IS NOT NULL").select("named", "mean", "held", F.explode(kinds).alias("s")).select("named", "mean", "held", "s.*")
+    found: dict[str, list] = {}
+    for r in steps.groupBy("named", "mean", "held", "kind", "step").agg(F.count("*").alias("n")).orderBy("named", "kind", "step").collect():  # at most the steps between the least and the greatest value, for each language
+        found.setdefault(r.named, []).append(r)
+
+    def at(rows: list, share: float) -> float:
+        upto = np.cumsum([r.n for r in rows])
+        return rows[int(np.searchsorted(upto, min(upto[-1], np.ceil(share * upto[-1]))))].step / STEPS
+
+    out = []
+    for named, rows in found.items():
+        held, known = ([r for r in rows if r.held == x and not r.kind] or [r for r in rows if not r.kind] for x in (True, False))
+        out.append((named, float(rows[0].mean), float(np.exp(at(known, lower))), float(np.exp(at(held, upper))), at([r for r in rows if r.kind], repeats)))
+    return out
 
 
-def judged(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", lang: str = "lang", text: str = "text", good: str = "quality", quantile: float = QUANTILE) -> DataFrame:
-    """``docs`` with ``_perplexity``, ``_limit`` (its language's quantile) and ``_kept``."""
-    trusted = _trusted(docs.select(key, lang, text), labels, key, good)
-    model = collected(kneser_ney(table(counted(trusted.select(F.col(lang).alias("lang"), F.col(text).alias("text"))), "grams")))
-    known = F.coalesce(F.col(lang), F.lit(NONE))
-    named = F.when(known.isin(sorted(model)), known).otherwise(F.lit(ALL))
-    own = table(scored(trusted, model, lang, text).select(named.alias("_named"), "_logp", "_symbols"), "trusted")
-    own = own.unionByName(own.where(F.col("_named") != ALL).withColumn("_named", F.lit(ALL)))
-    mean = own.groupBy("_named").agg((F.sum("_logp") / F.sum("_symbols")).alias("_mean"))
-    perplexity = F.exp(-(F.col("_logp") + PRIOR * F.col("_mean")) / (F.col("_symbols") + PRIOR))
-    limits = own.join(mean, "_named").groupBy("_named", "_mean").agg(F.percentile_approx(perplexity, F.lit(quantile), F.lit(100_000)).alias("_limit"))
-    limits = docs.sparkSession.createDataFrame(limits.collect(), limits.schema)  # a row for each language
-    out = scored(docs, model, lang, text).withColumn("_named", named).join(F.broadcast(limits), "_named", "left")
-    out = out.withColumn("_perplexity", perplexity)
-    return out.withColumn("_kept", F.coalesce(F.col("_perplexity") <= F.col("_limit"), F.lit(True))).select(*docs.columns, "_perplexity", "_limit", "_kept")
+def _step(value):
+    return F.round(STEPS * value).cast("long")
+
+
+def _repeated():
+    return F.greatest(F.lit(0), F.col("most") - 1) / (F.col("symbols") + PRIOR)
+
+
+def _log_perplexity():
+    return -(F.col("logp") + PRIOR * F.col("mean")) / (F.col("symbols") + PRIOR)
+
+
+def judged(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", lang: str = "lang", text: str = "text", good: str = "quality", lower: float = LOWER, upper: float = UPPER, repeats: float = REPEATS) -> DataFrame:
+    """``docs`` with ``_perplexity``, ``_least`` and ``_limit``, ``_repeated`` and ``_most`` (the values and the quantiles of its language) and ``_kept``, under free names, as the last six columns."""
+    names = free_names(docs, "_perplexity", "_least", "_limit", "_repeated", "_most", "_kept")
+    trusted = _trusted(docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")), labels, "key", good)
+    trusted = trusted.withColumn("held", F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0)
+    model = kneser_ney(counted(trusted.where("NOT held")))
+    own = table(scored(trusted, model, "lang", "text").select("named", "row.held", "logp", "symbols", "most").where("named IS NOT NULL"), "trusted")
+    own = own.unionByName(own.where(F.col("named") != ALL).withColumn("named", F.lit(ALL)))
+    # The mean of texts that the model hasn't seen, or of all where there are none.
+    part = lambda c: F.sum(F.when(F.col("held"), F.col(c)))
+    mean = table(own.groupBy("named").agg(F.coalesce(F.try_divide(part("logp"), part("symbols")), F.try_divide(F.sum("logp"), F.sum("symbols"))).alias("mean")), "means")
+    found = limits(own.join(F.broadcast(mean), "named"), lower, upper, repeats)  # a row for each language
+    bounds = docs.sparkSession.createDataFrame(found, "named string, mean double, least double, limit double, repeats double")
+    out = scored(docs, model, lang, text).join(F.broadcast(bounds), "named", "left")
+    perplexity, repeated = F.exp(_step(_log_perplexity()) / STEPS), _step(_repeated()) / STEPS
+    # Compared by steps: the limits are exponentials too.
+    inside = (_step(_log_perplexity()) >= _step(F.log("least"))) & (_step(_log_perplexity()) <= _step(F.log("limit"))) & (_step(_repeated()) <= _step(F.col("repeats")))
+    made = (perplexity, F.col("least"), F.col("limit"), repeated, F.col("repeats"), F.coalesce(inside, F.lit(True)))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], *[x.alias(n) for x, n in zip(made, names, strict=True)])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     out = judged(docs, read(spark, sf_dir, "labels"))
-    return out.select("doc_id", "lang", F.col("_perplexity").alias("perplexity"), F.col("_limit").alias("threshold"), F.col("_kept").alias("kept"))
+    return out.select("doc_id", "lang", F.col("_perplexity").alias("perplexity"), F.col("_least").alias("lower"), F.col("_limit").alias("threshold"), F.col("_repeated").alias("repeated"), F.col("_most").alias("most_repeated"), F.col("_kept").alias("kept"))

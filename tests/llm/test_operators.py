@@ -49,8 +49,8 @@ def words_of(text):
 # -- 1
 
 
-def removed_lines(rows, least=3):
-    """Positions of lines in later runs, by key and line number."""
+def removed_lines(rows, least=3, long=50):
+    """Positions of lines in later runs, or later long lines, by key and line number."""
     own = {}
     for k, t in rows:
         lines = (t or "").split("\n")
@@ -61,6 +61,9 @@ def removed_lines(rows, least=3):
             run = tuple(x for _, x in own[k][j : j + least])
             if first.setdefault(run, (k, j)) != (k, j):
                 gone[k] |= {i for i, _ in own[k][j : j + least]}
+        for j, (i, x) in enumerate(own[k]):
+            if len(x) >= long and first.setdefault(x, (k, j)) != (k, j):
+                gone[k].add(i)
     return gone
 
 
@@ -68,16 +71,18 @@ def test_line_dedup(spark):
     rng = random.Random(1)
     rows = [(i, "\n".join(rng.choice("abcde ") for _ in range(rng.randint(0, 14)))) for i in range(300)]
     rows += [(300, None), (301, ""), (302, "\n\n"), (303, "x\n" * 3000), (304, "p\nq\nr\ns"), (305, " p \nq\n\nr\t\nend")]
+    wide, near = "wide " * 9 + "wi\u00e9\U0001f600t", "wide " * 9 + "wi\u00e9t"  # 50 characters, and 49
+    rows += [(306, f"one\n{wide}\ntwo"), (307, f"{wide}\n{near}"), (308, f"a\n {wide}\t\n{near}\n{wide}"), (309, wide)]
     gone = removed_lines(rows)
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, n int, h int")
     out = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
     for k, t in rows:
         want = t if not gone[k] else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[k])
         assert (out[k].text, out[k]._removed, out[k].n) == (want, len(gone[k]), 1)
-    assert out[305].text == "\nend"
+    assert out[305].text == "\nend" and out[306]._removed == 0 and out[308].text == f"a\n{near}" and out[309].text == ""
     for gram, least in ((1, 2), (2, 5), (3, 3)):
-        gone = removed_lines(rows, least)
-        got = {r.doc_id: r._removed for r in line_dedup.dedup_lines(df, gram=gram, least=least).collect()}
+        gone = removed_lines(rows, least, 60)
+        got = {r.doc_id: r._removed for r in line_dedup.dedup_lines(df, gram=gram, least=least, long=60).collect()}
         assert got == {k: len(gone[k]) for k, _ in rows}
     twice = line_dedup.dedup_lines(spark.createDataFrame([(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "a\nb\nc"), (None, "a\nb\nc")], "doc_id long, text string"))
     assert Counter((r.doc_id, r._removed) for r in twice.collect()) == {(1, 3): 2, (2, 3): 1, (None, 0): 1}
@@ -172,12 +177,16 @@ def test_mixing_overlaps(spark):
 # -- 4
 
 
+def symbols_of(text):
+    return [chr(quality.PAD)] * (quality.ORDER - 1) + list(re.sub(r"[\x00\x20\x09-\x0D]+", " ", text or ""))
+
+
 def plain_kn(texts):
-    """Interpolated modified Kneser-Ney over symbol classes, with dictionaries."""
-    classes, n = quality.symbol_table(), quality.ORDER
+    """Interpolated modified Kneser-Ney over characters, with dictionaries."""
+    n = quality.ORDER
     grams = Counter()
     for t in texts:
-        s = [quality.PAD] * (n - 1) + [int(classes[b]) for b in t.encode()]
+        s = symbols_of(t)
         grams.update(tuple(s[i : i + n]) for i in range(len(s) - n + 1))
     level = {n: grams}
     for size in range(n - 1, 0, -1):
@@ -198,7 +207,7 @@ def plain_kn(texts):
 
     def p(g):
         if not g:
-            return 1 / quality.SYMBOLS
+            return 1 / (len(level[1]) + 1)
         c, d, total, back = tables[len(g)]
         h = g[:-1]
         if not total[h]:
@@ -206,31 +215,63 @@ def plain_kn(texts):
         return max(0, c[g] - d[min(c[g], 3)]) / total[h] + back[h] / total[h] * p(g[1:])
 
     def logp(t):
-        s = [quality.PAD] * (n - 1) + [int(classes[b]) for b in (t or "").encode()]
+        s = symbols_of(t)
         return sum(np.log(p(tuple(s[i : i + n]))) for i in range(len(s) - n + 1))
 
-    return logp
+    return logp, p, [g[0] for g in level[1]]
+
+
+@pytest.fixture(scope="module")
+def model(spark, docs):
+    """A model of some texts in English and one in three scripts."""
+    texts = {"en": [t for _, t, lang, _, _ in docs if lang == "en" and t][:40], "xx": ["Быстрая лиса и 漢字かな交じり文 και ελληνικά", "漢字かな漢字かな", "x\x02y \x00z"]}
+    df = spark.createDataFrame([(k, t) for k, ts in texts.items() for t in ts], "lang string, text string")
+    return texts, quality.kneser_ney(quality.counted(df))
+
+
+TRIED = ["", "### $$$ ZZZ", "é", "x" * 50, None, " \n\t a  b\x00c ", "Быстрая 漢字 лиса", "漢漢漢漢", "lone \U0001f600 end"]
+
+
+def test_quality_against_dictionaries(spark, model, monkeypatch):
+    texts, made = model
+    tried = [t[:500] for t in texts["en"][:5]] + TRIED
+    frame = spark.createDataFrame([(i, lang, t) for i, t in enumerate(tried) for lang in ("en", "xx", "none")], "i int, lang string, text string")
+    plain = {"en": plain_kn(texts["en"])[0], "xx": plain_kn(texts["xx"])[0], "none": plain_kn(sum(texts.values(), []))[0]}
+    for most in (quality.BROADCAST_GRAMS, 10):  # by look-up, and by the join
+        monkeypatch.setattr(quality, "BROADCAST_GRAMS", most)
+        out = quality.scored(frame, made, "lang", "text").select("row.i", "row.lang", "logp", "symbols", "most").collect()
+        assert len(out) == 3 * len(tried)
+        for r in out:
+            s = symbols_of(tried[r.i])
+            assert r.logp == pytest.approx(plain[r.lang](tried[r.i]), rel=1e-5, abs=1e-4) and r.symbols == len(s) - quality.ORDER + 1
+            assert r.most == max(Counter(tuple(s[i : i + 5]) for i in range(len(s) - 4)).values(), default=0)
 
 
-def test_quality_against_dictionaries(spark, docs):
-    texts = [t for _, t, lang, _, _ in docs if lang == "en" and t][:40]
-    df = spark.createDataFrame([("en", t) for t in texts], "lang string, text string")
-    model = quality.collected(quality.kneser_ney(quality.counted(df)))
-    logp = plain_kn(texts)
-    tried = [t[:500] for t in texts[:5]] + ["", "### $$$ ZZZ", "é", "x" * 50, None]
-    out = quality.scored(spark.createDataFrame([(i, "en", t) for i, t in enumerate(tried)], "i int, lang string, text string"), model, "lang", "text")
-    for r in out.collect():
-        assert r._logp == pytest.approx(logp(tried[r.i]), rel=1e-5, abs=1e-6) and r._symbols == len((tried[r.i] or "").encode())
-    assert np.exp(quality.dense(*model["en"]).reshape(-1, quality.SYMBOLS).astype(float)).sum(1) == pytest.approx(1, abs=1e-4)
+def test_quality_probabilities_sum_to_one(model):
+    texts, _ = model
+    _, p, known = plain_kn(texts["xx"])
+    for context in [tuple(symbols_of(texts["xx"][0])[i : i + 4]) for i in (0, 3, 10, 20)] + [tuple("qqqq")]:
+        assert sum(p((*context, c)) for c in known) + p((*context, "unknown")) == pytest.approx(1)
 
 
 def test_quality_decisions(spark, docs):
     labels = spark.createDataFrame([(k, int(i % 5 > 0), 0) for i, (k, *_) in enumerate(docs) if k is not None and k < 1000], "doc_id long, quality int, toxic int")
-    frame = table_of(spark, docs + [(3000, "### $$$ %%% &&& ### *** " * 30, "en", "a", 1), (3001, "#@!" * 100, "xx", "a", 1)]).withColumn("n", F.lit(1))
-    out = {r.doc_id: r for r in quality.judged(frame, labels).collect()}
-    assert not out[3000]._kept and not out[3001]._kept and out[2000]._kept and out[2001]._kept and out[3000].n == 1
-    assert all(r._kept == (r._perplexity <= r._limit) for r in out.values())
+    frame = table_of(spark, docs + [(3000, "### $$$ %%% &&& ### *** " * 30, "en", "a", 1), (3001, "#@!" * 100, "xx", "a", 1), (3002, "The " * 300, "en", "a", 1), (3003, "漢字 лиса " * 50, "en", "b", 1)]).withColumn("n", F.lit(1))
+    rows = quality.judged(frame, labels).collect()
+    out = {r.doc_id: r for r in rows}
+    assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in frame.select("doc_id").collect())
+    assert not any(out[k]._kept for k in (3000, 3001, 3002, 3003)) and out[2000]._kept and out[2001]._kept and out[3000].n == 1
+    # Limits by plain nearest ranks, over the texts left out of the training and the others.
     good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    marks = {r.doc_id: r.h for r in frame.select("doc_id", (F.pmod(F.xxhash64("text"), F.lit(quality.FOLDS)) == 0).alias("h")).collect()}
+    rank = lambda values, q: sorted(values)[min(len(values), int(np.ceil(q * len(values)))) - 1]
+    for lang in ("en", "fr"):
+        own = [r for r in rows if r.lang == lang and r.doc_id in good]
+        assert {round(r._limit, 9) for r in own} == {round(rank([r._perplexity for r in own if marks[r.doc_id]], quality.UPPER), 9)}
+        assert {round(r._least, 9) for r in own} == {round(rank([r._perplexity for r in own if not marks[r.doc_id]], quality.LOWER), 9)}
+        assert {round(r._most, 9) for r in own} == {round(rank([r._repeated for r in own], quality.REPEATS), 9)}
+    e = 1e-9
+    assert all(r._kept == (r._least - e <= r._perplexity <= r._limit + e and r._repeated <= r._most + e) for r in rows)
     assert sum(out[k]._kept for k in good) >= 0.97 * len(good)
     none = quality.judged(frame, labels.where("false")).collect()
     assert len(none) == frame.count() and all(r._kept and r._perplexity is None for r in none)

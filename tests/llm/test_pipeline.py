@@ -37,7 +37,7 @@ def test_columns(kept):
 
 def test_quality_stage(spark, kept):
     out = quality.judged(kept[0], spark.read.parquet(f"{DIR}/labels.parquet"))
-    want = Counter(r.doc_id for r in out.collect() if r._perplexity is None or r._perplexity <= r._limit)
+    want = Counter(r.doc_id for r in out.collect() if r._perplexity is None or (r._least - 1e-9 <= r._perplexity <= r._limit + 1e-9 and r._repeated <= r._most + 1e-9))
     assert Counter(k for k, _ in texts(kept[1])) == want
     good = spark.read.parquet(f"{DIR}/labels.parquet").where("quality = 1").select("doc_id")
     assert kept[1].join(good, "doc_id").select("doc_id").distinct().count() >= 0.97 * good.count()
