@@ -20,13 +20,14 @@ BROADCAST_ROWS = 1_000_000
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    return quality.judged(docs, read(spark, sf_dir, "labels")).where("_kept").select(*docs.columns)
+    judged = quality.judged(docs, read(spark, sf_dir, "labels"))
+    return judged.where(F.col(judged.columns[-1])).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later runs of lines go; documents stay, if need be with an empty text, and ``n_chars`` follows."""
     out = line_dedup.dedup_lines(docs)
-    return out.select(*[F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else c for c in docs.columns])
+    return out.select(*[F.when(F.col(out.columns[-1]) > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else c for c in docs.columns])
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
