@@ -165,11 +165,11 @@ class EventStream:
         style = render.Style(decay, float(microseconds(tau)), colormap, minimum_clip, maximum_clip, gamma)
         if self.regular:
             pixels = render.render(self.df, self.packets, self.start, temporal.period_us(self.frequency_hz), style)
-            return FrameStream(pixels, self.width, self.height, style, self.frequency_hz)
+            return FrameStream(pixels, self.width, self.height, style, self.frequency_hz, self.packets, self.start)
         # One frame, labelled one past the last event.
         t0, t1 = self.time_range()
         pixels = render.render(self.df.drop("packet").withColumn("packet", F.lit(0).cast("long")), 1, t0, float(t1 - t0), style)
-        return FrameStream(pixels, self.width, self.height, style, None)
+        return FrameStream(pixels, self.width, self.height, style, None, 1, t0, t1)
 
     def to_event_rate(self, samples: int = 1600) -> DataFrame:
         if samples <= 0:
@@ -210,26 +210,133 @@ class EventStream:
 
 @dataclass(frozen=True, eq=False)
 class FrameStream:
-    """Sparse pixels of frames, made dense at a sink."""
+    """Frames as sparse pixels, made dense at a sink or by an operator of whole images."""
 
     pixels: DataFrame
     width: int
     height: int
     style: render.Style
     frequency_hz: float | None
+    count: int
+    start: int
+    end: int | None = None
+
+    def dimensions(self) -> tuple[int, int]:
+        return self.width, self.height
+
+    def frames(self) -> DataFrame:
+        """``frame, t`` of every frame, whether or not it has pixels."""
+        frame = F.col("id")
+        t = F.lit(self.end) if self.frequency_hz is None else render.label(frame, self.start, temporal.period_us(self.frequency_hz))
+        return self.pixels.sparkSession.range(self.count).select(frame.alias("frame"), t.alias("t"))
 
     def colored(self) -> DataFrame:
         return render.colored(self.pixels, self.style)
 
     def dense(self) -> DataFrame:
-        return render.dense(self.pixels, self.width, self.height, self.style)
+        return render.dense(self.pixels, self.width, self.height, self.style, self.frames())
+
+    def images(self) -> ImageStream:
+        return ImageStream(self.dense(), self.width, self.height, self.frequency_hz)
 
-    def scale(self, factor_or_minimum_dimensions=(960, 720)) -> FrameStream:
+    def scale(self, factor_or_minimum_dimensions=(960, 720), sampling_filter: str = "nearest") -> FrameStream | ImageStream:
+        """Enlarged by a whole factor; other filters than the nearest pixel need whole images."""
         from eventloom.operators import frames
 
+        if sampling_filter != "nearest":
+            return self.images().scale(factor_or_minimum_dimensions, sampling_filter)
         factor = frames.scale_factor(self.width, self.height, factor_or_minimum_dimensions)
         return replace(self, pixels=frames.scale_pixels(self.pixels, factor), width=self.width * factor, height=self.height * factor)
 
+    def annotate(self, *args, **options) -> ImageStream:
+        return self.images().annotate(*args, **options)
+
+    def add_timecode(self, output_frame_rate: float | None = None) -> ImageStream:
+        return self.images().add_timecode(output_frame_rate)
+
+    def add_overlay(self, *args, **options) -> ImageStream:
+        return self.images().add_overlay(*args, **options)
+
+    def map(self, function: Callable[[np.ndarray, int], np.ndarray]) -> ImageStream:
+        return self.images().map(function)
+
+    def to_files(self, pattern: str, **options) -> int:
+        return self.images().to_files(pattern, **options)
+
+
+@dataclass(frozen=True, eq=False)
+class ImageStream:
+    """Whole images: rows of ``frame, t, pixels`` (RGBA bytes by row), and what is to be said of them."""
+
+    df: DataFrame
+    width: int
+    height: int
+    frequency_hz: float | None = None
+
+    def dimensions(self) -> tuple[int, int]:
+        return self.width, self.height
+
+    def map(self, function: Callable[[np.ndarray, int], np.ndarray]) -> ImageStream:
+        """``function`` of each image, as (height, width, 4) bytes, and its time; the sides stay."""
+        from eventloom.operators import frames
+
+        return replace(self, df=frames.map_frames(self.df, self.width, self.height, function))
+
+    def scale(self, factor_or_minimum_dimensions=(960, 720), sampling_filter: str = "nearest") -> ImageStream:
+        from eventloom.operators import frames
+
+        factor = frames.scale_factor(self.width, self.height, factor_or_minimum_dimensions)
+        made = frames.map_frames(self.df, self.width, self.height, lambda image, _: frames.resize(image, factor, sampling_filter))
+        return replace(self, df=made, width=self.width * factor, height=self.height * factor)
+
+    def add_overlay(self, overlay: np.ndarray | str, x: int = 0, y: int = 0, factor: int = 1, sampling_filter: str = "nearest") -> ImageStream:
+        """``overlay``, RGBA or the path of a PNG file, laid over every image."""
+        from eventloom.operators import frames
+
+        if isinstance(overlay, str):
+            with open(overlay, "rb") as f:
+                overlay = frames.from_png(f.read())
+        return replace(self, df=frames.add_overlay(self.df, self.width, self.height, overlay, x, y, factor, sampling_filter))
+
+    def annotate(self, text: str, x: int = 21, y: int = 15, size: int = 30, color="#ffffff") -> ImageStream:
+        """``text`` drawn into every image."""
+        from eventloom.operators import lettering
+
+        return self.map(lettering.writer(text, x, y, size, color))
+
+    def add_timecode(self, output_frame_rate: float | None = None, x: int = 21, y: int = 15, size: int = 30, color="#ffffff") -> ImageStream:
+        """Each image's time drawn into it, followed by the playback speed where a rate is given."""
+        from eventloom.operators import frames, lettering
+
+        if output_frame_rate is not None and self.frequency_hz is None:
+            raise TypeError("a playback speed needs regular frames")
+        speed = "" if output_frame_rate is None else f" ({frames.speed_label(output_frame_rate, self.frequency_hz)})"
+        return self.map(lettering.writer(lambda t: to_timecode(t) + speed, x, y, size, color))
+
+    def played(self, skip: int = 0, rewind: bool = False) -> DataFrame:
+        """The images in playing order (``turn``)."""
+        from eventloom.operators import frames
+
+        return frames.played(self.df, skip, rewind)
+
+    def to_files(self, pattern: str, on_progress: Callable[[str, int], None] | None = None) -> int:
+        """A PNG file for each image; ``on_progress`` is told the start and the end, with the number of files."""
+        from eventloom.operators import frames
+
+        tell = on_progress or (lambda *_: None)
+        tell("start", 0)
+        count = frames.to_files(self.df, self.width, self.height, pattern)
+        tell("end", count)
+        return count
+
+    def to_file(self, path: str, frame_rate: float = 60.0, skip: int = 0, rewind: bool = False, on_progress: Callable[[str, int], None] | None = None) -> int:
+        """An animated GIF of all images in playing order; returns how many."""
+        from eventloom.operators import animation
+
+        if not path.lower().endswith(".gif"):
+            raise ValueError("only GIF files are written")
+        return animation.write_gif(self.played(skip, rewind), self.width, self.height, path, frame_rate, on_progress)
+
 
 def events_stream_from_array(spark: SparkSession, events: np.ndarray, dimensions: tuple[int, int]) -> EventStream:
     """A finite stream of a structured array with fields t, x, y and on (or p)."""

@@ -166,15 +166,17 @@ def colored(pixels: DataFrame, style: Style) -> DataFrame:
     return pixels.join(F.broadcast(table), ["half", "idx"], "left")
 
 
-def dense(pixels: DataFrame, width: int, height: int, style: Style) -> DataFrame:
-    """``frame, t, pixels``: RGBA bytes by row for each frame that has pixels; made at the sink only."""
+def dense(pixels: DataFrame, width: int, height: int, style: Style, frames: DataFrame) -> DataFrame:
+    """``frame, t, pixels``: RGBA bytes by row for each of ``frames`` (frame, t), those without pixels too; made at the sink only."""
     blank = bytes(map(int, (style.colormap.halves()[0] if style.signed else style.colormap.bytes())[0]))
 
     def draw(pdf):
         import pandas as pd
 
         image = np.frombuffer(blank * (width * height), np.uint8).reshape(height, width, 4).copy()
-        image[pdf["y"], pdf["x"]] = pdf[["r", "g", "b", "a"]].to_numpy(np.uint8)
+        hit = pdf[pdf["x"].notna()]
+        image[hit["y"].astype(int), hit["x"].astype(int)] = hit[["r", "g", "b", "a"]].to_numpy(np.uint8)
         return pd.DataFrame({"frame": [pdf["frame"].iloc[0]], "t": [pdf["t"].iloc[0]], "pixels": [image.tobytes()]})
 
-    return colored(pixels, style).groupBy("frame").applyInPandas(draw, "frame long, t long, pixels binary")
+    drawn = frames.join(colored(pixels, style).select("frame", "x", "y", "r", "g", "b", "a"), "frame", "left")
+    return drawn.groupBy("frame").applyInPandas(draw, "frame long, t long, pixels binary")

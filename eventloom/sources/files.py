@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from eventloom.functions.timecode import to_timecode
 from eventloom.model import EVENT, EventStream
@@ -67,24 +68,43 @@ def parse_csv(rows: DataFrame, width: int, height: int, t0: int = 0, properties:
     if p.skip_errors:
         out = out.where(good)
     else:
-        out = out.withColumn("t", F.when(good, F.col("t")).otherwise(F.raise_error(F.concat(F.lit("not an event: "), F.col("value"))).cast("long")))
+        out = out.where(F.when(good, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not an event: "), F.col("value"))).cast("boolean")))  # a filter, which no unused column prunes
     return running_max(out.drop("value"), "t").select("seq", "t", "x", "y", "on")
 
 
+#: Events of the file of rank k, by path, are numbered from k times this.
+PER_FILE = 1 << 44
+
+
+def paths_of(spark: SparkSession, path: str) -> list[str]:
+    """The files under ``path`` in order; their contents aren't read."""
+    return sorted(r.path for r in spark.read.format("binaryFile").load(path).select("path").collect())
+
+
 def read_csv(spark: SparkSession, path: str, dimensions: tuple[int, int], t0: int = 0, properties: CsvProperties = CsvProperties()) -> EventStream:
-    lines = spark.read.text(path).withColumn("seq", F.monotonically_increasing_id())
-    if properties.has_header:
-        lines = lines.where("seq > 0")
+    """The lines of one file, or of the files of a folder one after the other, each without its header."""
+    names = paths_of(spark, path)
+    lines = spark.read.text(path)
+    if len(names) == 1:
+        lines = lines.withColumn("seq", F.monotonically_increasing_id())
+        lines = lines.where("seq > 0") if properties.has_header else lines
+    else:  # lines are numbered within the blocks that are read as one, from the block's first byte
+        ranks = F.broadcast(spark.createDataFrame([(n, k) for k, n in enumerate(names)], "file string, rank long"))
+        lines = lines.select("value", F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("any"))
+        place = F.row_number().over(Window.partitionBy("file", "block").orderBy("any")) - 1
+        lines = lines.withColumn("place", place).join(ranks.withColumn("file", F.regexp_replace("file", "^file:/+", "file:/")), "file")
+        lines = lines.where("NOT (block = 0 AND place = 0)") if properties.has_header else lines
+        lines = lines.select((F.col("rank") * PER_FILE + F.col("block") + F.col("place")).alias("seq"), "value")
     return EventStream(parse_csv(lines, *dimensions, t0, properties), *dimensions)
 
 
-def _batch(schema: str, columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _batch(schema: str, columns: dict[str, np.ndarray], base: int = 0) -> Iterator[pa.RecordBatch]:
     kinds = {"long": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "boolean": pa.bool_(), "float": pa.float32(), "binary": pa.binary()}
     fields = [f.split() for f in schema.split(", ")]
     n = len(columns["t"])
     for i in range(0, n, 1 << 16):
         part = {k: v[i : i + (1 << 16)] for k, v in columns.items()}
-        part["seq"] = np.arange(i, min(n, i + (1 << 16)))
+        part["seq"] = base + np.arange(i, min(n, i + (1 << 16)))
         yield pa.RecordBatch.from_arrays([pa.array(part[k].tolist() if kind == "binary" else part[k], kinds[kind]) for k, kind in fields], [k for k, _ in fields])
 
 
@@ -110,13 +130,14 @@ def decoded(file_type: str, data: bytes, dimensions, version, t0, track_id, kind
 
 
 def records(spark: SparkSession, path: str, kind: str = "events", *, file_type: str | None = None, track_id: int | None = None, dimensions_fallback=(1280, 720), version_fallback: str | None = None, t0: int | None = None) -> DataFrame:
-    """The rows of one kind in a byte-format file: ``events`` or a key of ``RECORDS``."""
+    """The rows of one kind in a byte-format file, or in those of a folder one after the other: ``events`` or a key of ``RECORDS``."""
     schema = EVENT if kind == "events" else RECORDS[kind]
+    ranks = {name: k for k, name in enumerate(paths_of(spark, path))}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield from _batch(schema, decoded(file_type or codecs.detect(name, data[:16]), data, dimensions_fallback, version_fallback, t0, track_id, kind)[1])
+                yield from _batch(schema, decoded(file_type or codecs.detect(name, data[:16]), data, dimensions_fallback, version_fallback, t0, track_id, kind)[1], ranks[name] * PER_FILE)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
 

@@ -21,6 +21,8 @@ ROUND = {
     "evt2": (lambda c: C.encode_evt(c, 64, 48, "2"), lambda d: C.decode_evt(d)[1]),
     "evt3": (lambda c: C.encode_evt(c, 64, 48, "3"), lambda d: C.decode_evt(d)[1]),
     "aedat": (lambda c: C.encode_aedat(c, 64, 48), lambda d: C.decode_aedat(d)[1]),
+    "aedat_lz4": (lambda c: C.encode_aedat(c, 64, 48, ("lz4", 1)), lambda d: C.decode_aedat(d)[1]),
+    "aedat_lz4_high": (lambda c: C.encode_aedat(c, 64, 48, ("lz4_high", 9)), lambda d: C.decode_aedat(d)[1]),
     "aedat_plain": (lambda c: C.encode_aedat(c, 64, 48, None), lambda d: C.decode_aedat(d)[1]),
 }
 
@@ -98,3 +100,33 @@ def test_aedat_index_and_detection():
     assert [r[3] for r in index] == [4096, 4096, 808]
     assert (index[0][4], index[-1][5]) == (c["t"][0], c["t"][-1])
     assert C.detect("a.bin", data[:16]) == "aedat" and C.detect("x.RAW", b"") == "evt" and C.detect("q", b"Event Stream\2") == "es"
+
+
+#: Bytes written by hand from the published descriptions of the formats: ON at (3, 2) and t = 5, OFF at (63, 47) and t = 70.
+GOLDEN = {
+    "dat2": (b"% Data file containing CD events\n% Version 2\n% Width 64\n% Height 48\n\x0c\x08" + (5).to_bytes(4, "little") + (3 | 2 << 14 | 1 << 28).to_bytes(4, "little") + (70).to_bytes(4, "little") + (63 | 47 << 14).to_bytes(4, "little")),
+    "evt2": b"% evt 2.0\n% geometry 64x48\n% end\n" + b"".join(w.to_bytes(4, "little") for w in (8 << 28, 1 << 28 | 5 << 22 | 3 << 11 | 2, 8 << 28 | 1, 6 << 22 | 63 << 11 | 47)),
+    "evt3": b"% evt 3.0\n% geometry 64x48\n% end\n" + b"".join(w.to_bytes(2, "little") for w in (0x8000, 0x6005, 0x0002, 0x2803, 0x6046, 0x002F, 0x203F)),
+    "evt3 vector": b"% evt 3.0\n% geometry 64x48\n% end\n" + b"".join(w.to_bytes(2, "little") for w in (0x8000, 0x6005, 0x0002, 0x3803, 0x4001, 0x6046, 0x002F, 0x3037, 0x5000, 0x5001)),
+    "es": b"Event Stream\x02\x00\x00\x01\x40\x00\x30\x00" + bytes((5 << 1 | 1, 3, 0, 45, 0, 65 << 1, 63, 0, 0, 0)),
+}
+
+
+@pytest.mark.parametrize("name", GOLDEN)
+def test_bytes_written_by_hand(name):
+    data = GOLDEN[name]
+    decode = {"dat2": lambda: C.decode_dat(data)[1], "es": lambda: C.decode_es(data)[1]}.get(name, lambda: C.decode_evt(data)[1])
+    out = decode()
+    assert [out[k].tolist() for k in ("t", "x", "y", "on")] == [[5, 70], [3, 63], [2, 47], [True, False]]
+
+
+def test_encoders_write_the_bytes():
+    c = {"t": np.array([5, 70]), "x": np.array([3, 63]), "y": np.array([2, 47]), "on": np.array([True, False])}
+    assert C.encode_dat(c, 64, 48, "2", False)[0].endswith(GOLDEN["dat2"][-16:])
+    assert C.encode_es(c, 64, 48, "dvs", False)[0] == GOLDEN["es"]
+    assert C.encode_evt(c, 64, 48, "2", False)[0].endswith(GOLDEN["evt2"][-16:])
+    # An LZ4 frame starts with its magic number and ends with four zeros.
+    data, _ = C.encode_aedat(c, 64, 48, ("lz4", 1))
+    start = C.aedat_header(data).more["start"]
+    size = int.from_bytes(data[start + 4 : start + 8], "little")
+    assert data[start + 8 : start + 12] == b"\x04\x22\x4d\x18" and data[start + 4 + 4 + size - 4 : start + 8 + size] == bytes(4)

@@ -174,6 +174,47 @@ def test_cli(spark, tmp_path, capsys):
         cli.filtered(events_stream_from_array(spark, a, (40, 30)), ["nothing"])
 
 
+def test_cli_frames(spark, tmp_path, capsys):
+    from eventloom.operators.animation import read_gif
+    from eventloom.operators.frames import from_png
+
+    a = recording(400)
+    src, gif = str(tmp_path / "in.dat"), str(tmp_path / "out.gif")
+    s = events_stream_from_array(spark, a, (40, 30))
+    s.to_file(src)
+    words = ["input", "file", src, "filter", "regularize", "10", "filter", "render", "exponential", "00:00:00.2", "glow_3", "--minimum-clip", "0.1", "filter", "scale", "2", "filter", "add-timecode", "--output-frame-rate", "10", "output", gif, "--frame-rate", "10", "output", "files", str(tmp_path / "{index}.png"), "output", "files", str(tmp_path / "{timestamp}.png")]
+    cli.process(spark, words)
+    with open(gif, "rb") as f:
+        images = read_gif(f.read())
+    count = s.regularize(10.0).packets
+    assert len(images) == count and images[0].shape == (60, 80, 3)
+    with open(tmp_path / "0.png", "rb") as f:
+        assert from_png(f.read()).shape == (60, 80, 4)
+    assert len(list(tmp_path.glob("*.png"))) == 2 * count
+    cli.process(spark, ["input", src, "output", "rate", str(tmp_path / "r.svg"), "--samples", "50", "output", "kinectograph", str(tmp_path / "k.png"), "--factor", "2"])
+    assert (tmp_path / "r.svg").read_text().startswith("<svg") and from_png((tmp_path / "k.png").read_bytes()).shape == (60, 80, 4)
+    assert cli.main(["colormaps", str(tmp_path / "maps.png")]) == 0 and from_png((tmp_path / "maps.png").read_bytes()).shape == (38 * 12, 512, 4)
+    assert cli.init(spark, src, True) == cli.init(spark, src, True)
+    with pytest.raises(SystemExit):
+        cli.process(spark, ["input", src, "output", "files", "x{index}.png"])
+    with pytest.raises(SystemExit):
+        cli.process(spark, ["input", src, "filter"])
+
+
+def test_csv_errors_and_folders(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("t,x,y,on\n30,1,1,1\n40,2,2,0\n")
+    (tmp_path / "a.csv").write_text("t,x,y,on\n10,3,3,1\n20,4,4,0\n")
+    s = files.events_stream_from_file(spark, str(tmp_path), file_type="csv", dimensions_fallback=(10, 10))
+    assert s.df.count() == 4 and [r.t for r in s.df.orderBy("seq").collect()] == [10, 20, 30, 40]
+    (tmp_path / "b.csv").write_text("t,x,y,on\n30,1,1,1\nnothing\n")
+    with pytest.raises(Exception, match="not an event"):
+        files.events_stream_from_file(spark, str(tmp_path), file_type="csv", dimensions_fallback=(10, 10)).df.count()
+    for name, part in (("1.dat", recording(20)), ("2.dat", recording(30))):
+        events_stream_from_array(spark, part, (40, 30)).to_file(str(tmp_path / name))
+    both = files.records(spark, str(tmp_path / "*.dat"), file_type="dat").orderBy("seq").collect()
+    assert len({r.seq for r in both}) == len(both) == 50
+
+
 def test_time_range_cache(spark, tmp_path):
     s = events_stream_from_array(spark, recording(30), (40, 30))
     path, cache = str(tmp_path / "a.dat"), str(tmp_path / "cache.json")

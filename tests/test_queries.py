@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from eventloom.plans import registry
+from eventloom.plans import catalog as registry
 
 DIR = "/root/testdata/sf0.001"
 
@@ -13,7 +13,7 @@ DIR = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("events", "lineitem"):
+    for t in ("events", "lineitem", "part"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     return c
 
