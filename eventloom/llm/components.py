@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import table
+from eventloom.llm.common import discard, hot_parts, lookup, spread_join, table
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,20 +14,39 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps: each rewires neighbours to
     the least node known, until nothing changes. Only edges are stored, never
     members of a component in one row, and each step is a partial aggregation
-    and a join, which a node of very many edges doesn't hold up.
+    and a join, in which a node of very many edges is split.
     """
     now = table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(least, "a")
+        seen = both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("times"))
+        low = seen.select("a", F.least("a", "low").alias("low"))
+        parts = hot_parts(seen, ["a"], 2 * (mark[0] if mark else now.count()))
+        large = table(spread_join(both, low, ["a"], parts, ["b"]).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a != b").distinct(), "large")
+        seen = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("times"))
+        least = seen.select("a", "low")
+        small = spread_join(large, least, ["a"], hot_parts(seen, ["a"], large.count()), ["b"])
         small = small.where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(least.select("a", F.col("low").alias("b"))).distinct()
-        now = table(small, "edges")
-        new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if new == mark:
+        new = table(small, "edges")
+        discard(now, large)
+        now, last, mark = new, mark, tuple(new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if mark == last:
             break
-        mark = new
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def merged(root: DataFrame | None, links: DataFrame) -> DataFrame:
+    """A table ``node, root`` of the components of ``root`` (such a table, or none) after ``links`` (a, b) join some of them.
+
+    Only the links between roots take part in the steps, so a few late links
+    cost little.
+    """
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    if root is None:
+        return table(components(links), "roots")
+    ends = table(ends.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.col("root").isNull().alias("new")), "ends")
+    end = lambda x: ends.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    up = table(components(links.join(end("a"), "a").join(end("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("up")), "up")
+    every = root.unionByName(ends.where("new").select("node", "root"))
+    return table(lookup(every, up, "root", ["node"], how="left").select("node", F.coalesce("up", "root").alias("root")), "roots")
