@@ -7,17 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.operators.order import with_runs
+from eventloom.operators.order import with_run_lengths
 
 
 def arbiter_saturation_lines(df: DataFrame, threshold: int, orientation: str = "row") -> DataFrame:
     """Without runs, in arrival order, of more than ``threshold`` events on one line, and without the run still open at the end."""
     line = {"row": "y", "column": "x"}[orientation]
-    runs = with_runs(df, line, "_run")
-    length = runs.groupBy("_run").agg(F.count("*").alias("_n"))
-    last = length.agg(F.max("_run").alias("_last"))
-    good = length.where(F.col("_n") <= threshold).join(F.broadcast(last), F.col("_run") < F.col("_last")).select("_run")
-    return runs.join(good, "_run", "left_semi").select(*df.columns)
+    found = with_run_lengths(df, line, "_length", "_last")
+    return found.where((F.col("_length") <= threshold) & ~F.col("_last")).select(*df.columns)
 
 
 def hot_pixels(df: DataFrame, ratio: float) -> DataFrame:
