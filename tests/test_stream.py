@@ -82,8 +82,9 @@ def test_transposes_undo(spark, action):
     assert all(0 <= x < turned.width and 0 <= y < turned.height for _, x, y, _ in got(turned))
 
 
-@pytest.mark.parametrize("bucket", [1, 7, 64, 1 << 16])
-def test_order_does_not_depend_on_buckets(spark, bucket):
+@pytest.mark.parametrize(("bucket", "wide"), [(1, 5), (7, 2), (64, 1), (1 << 16, 1 << 12)])
+def test_order_does_not_depend_on_buckets(spark, bucket, wide, monkeypatch):
+    monkeypatch.setattr(order, "WIDE", wide)
     df = made(spark, walk(500)).df.where("seq % 3 != 1")
     rows = df.orderBy("seq").collect()
     runs, n = [], 0
@@ -91,6 +92,8 @@ def test_order_does_not_depend_on_buckets(spark, bucket):
         n += not i or rows[i - 1].y != r.y
         runs.append(n)
     assert [r.run for r in order.with_runs(df, "y", bucket=bucket).orderBy("seq").collect()] == runs
+    sizes = [(runs.count(k), k == runs[-1]) for k in runs]
+    assert [(r.length, r.last) for r in order.with_run_lengths(df, "y", bucket=bucket).orderBy("seq").collect()] == sizes
     assert [r.ordinal for r in order.with_ordinals(df, bucket=bucket).orderBy("seq").collect()] == list(range(len(rows)))
     high = np.maximum.accumulate([r.x for r in rows]).tolist()
     assert [r.x for r in order.running_max(df, "x", bucket=bucket).orderBy("seq").collect()] == high
