@@ -10,7 +10,9 @@ hashes move between tasks, never texts.
 
 Defined results: a null text counts as empty; an empty text has the empty
 recipe; of rows with equal texts the one of smallest key stays (null keys
-last), and of repeated rows one; further columns are ignored.
+last), and of repeated rows one; an empty table gives one; a text of any
+length is cut in its own row; further columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from eventloom.llm.common import read, table
+from eventloom.llm.common import fits_broadcast, hot_parts, read, spread_join, table
 
 LEAST, MOST = 256, 8192
 #: A cut follows a byte where so many high bits of the rolling hash are 0.
@@ -100,16 +102,27 @@ def exact_groups(docs: DataFrame, key: Column, text: Column) -> DataFrame:
     # Repeated rows are one entry with a count, and so may be told by key and digest.
     entry = cut.groupBy("key", "sha").agg(F.count("*").alias("times"))
     chunk = cut.select("key", "sha", F.posexplode(F.arrays_zip("hashes", "digests")).alias("pos", "c")).select("key", "sha", "pos", F.col("c.hashes").alias("hash"), F.col("c.digests").alias("digest"))
-    met = chunk.groupBy("hash").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo != hi").select("hash")
-    ranks = chunk.join(met, "hash", "left_semi").select("hash", "digest").distinct()
-    ranks = ranks.withColumn("rank", F.row_number().over(Window.partitionBy("hash").orderBy("digest")))
-    named = chunk.join(ranks, ["hash", "digest"], "left").select("key", "sha", "pos", F.struct("hash", F.coalesce("rank", F.lit(0)).alias("rank")).alias("id"))
+    met = chunk.groupBy("hash").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count("*").alias("times")).where("lo != hi")
+    met = table(met.select("hash", "times"), "met")
+    ranks = table(chunk.join(F.broadcast(met) if fits_broadcast(met, 16) else met, "hash").select("hash", "digest").distinct(), "ranks")
+    ranks = table(ranks.withColumn("rank", F.row_number().over(Window.partitionBy("hash").orderBy("digest"))), "ranks")
+    if fits_broadcast(ranks, 64):
+        named = chunk.join(F.broadcast(ranks), ["hash", "digest"], "left")
+    else:  # the digests of a hash are few, so that its count tells what is hot
+        parts = hot_parts(met, ["hash"], met.agg(F.sum("times")).first()[0])
+        named = spread_join(chunk, ranks.withColumnRenamed("digest", "known"), ["hash"], parts, ["key", "sha", "pos"], "left").where(F.col("known").isNull() | (F.col("known") == F.col("digest")))
+    named = named.select("key", "sha", "pos", F.struct("hash", F.coalesce("rank", F.lit(0)).alias("rank")).alias("id"))
     listed = named.distinct().groupBy("key", "sha").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("l")).select("key", "sha", F.col("l.id").alias("recipe"))
     same = (F.col("a.key").eqNullSafe(F.col("b.key"))) & (F.col("a.sha") == F.col("b.sha"))
     whole = entry.alias("a").join(listed.alias("b"), same, "left").select("a.*", F.coalesce("recipe", F.array().cast("array<struct<hash: long, rank: int>>")).alias("recipe"))
     whole = table(whole, "listed")
-    groups = whole.groupBy("recipe").agg(F.min("key").alias("keep_id"), F.sum("times").alias("group_size"))
-    out = whole.join(groups, "recipe").select("key", "sha", "keep_id", "group_size", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("turn"))
+    # Most recipes are of one entry and need no join; those of very many are split.
+    groups = whole.groupBy("recipe").agg(F.min("key").alias("keep_id"), F.sum("times").alias("group_size"), F.count("*").alias("times")).where("times > 1")
+    groups = table(groups, "groups")
+    parts = hot_parts(groups, ["recipe"], groups.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0])
+    out = spread_join(whole, groups.select("recipe", "keep_id", "group_size"), ["recipe"], parts, ["key", "sha"], "left")
+    first = F.when(F.col("group_size").isNull(), F.col("key")).otherwise(F.col("keep_id"))
+    out = out.select("key", "sha", first.alias("keep_id"), F.coalesce("group_size", "times").alias("group_size"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("turn"))
     return out.select("key", "keep_id", "group_size", (F.col("key").eqNullSafe(F.col("keep_id")) & (F.col("turn") == 1)).alias("kept"), "sha")
 
 
