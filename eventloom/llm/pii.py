@@ -313,7 +313,9 @@ def find(docs: DataFrame, text: str, model: Model) -> DataFrame:
         lambda a, p: F.when(p["s"] < a["end"], a).otherwise(F.struct(p["e"].alias("end"), F.concat(a["out"], F.array(F.struct(p["k"].alias("k"), p["s"].alias("s"), p["e"].alias("e")))).alias("out"))),
         lambda a: a["out"],
     )
-    made = [F.col(f"_base_{k}") for k in KINDS] + [F.array_sort(F.concat("_sure", kept))]
+    made = [F.col(f"_base_{k}") for k in KINDS] + [F.col("_spans")]
+    # In a step of its own, before the caller's names come back.
+    out = out.select("row", *[f"_base_{k}" for k in KINDS], F.array_sort(F.concat("_sure", kept)).alias("_spans"))
     return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], *[c.alias(n) for c, n in zip(made, names, strict=True)])
 
 
