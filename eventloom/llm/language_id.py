@@ -2,12 +2,16 @@
 
 A text is encoded once per language with zstandard, each time against a
 raw-content dictionary made of that language's own text; the language whose
-dictionary yields the fewest bytes is chosen (case is folded first). The dictionaries are learned
-from a bounded sample, every text is scored whole.
+dictionary yields the fewest bytes is chosen (case is folded first). The
+dictionaries are learned from a bounded sample of labelled rows, whose texts
+are taken whole; every text is scored whole.
 
 Defined results: a null text, or one without any letter, is ``und`` with
 score 0; ties go to the first language by code point; with no learned
-language all rows are ``und``; further columns of the input are ignored.
+language all rows are ``und``; equal texts have equal results, so repeated rows
+have, too; an empty table gives one; a text of any length is encoded in blocks
+in its own task; further columns of the input are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -19,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A dictionary holds the starts of at most so many documents of a language ...
+#: A dictionary is made of at most so many documents of a language ...
 DOCS_PER_LANGUAGE = 64
-#: ... of at most so many characters each.
-CHARS_PER_DOC = 1000
+#: ... preferably of at most so many characters; longer ones are taken, whole, only for want of others.
+PREFERRED_CHARS = 2000
 #: Longer texts are encoded in blocks, so that the dictionary keeps counting.
 BLOCK_BYTES = 8192
 #: A choice is accepted when the second best needs this share more bytes.
@@ -37,13 +41,15 @@ def learn(labelled: DataFrame, key: str, text: str, lang: str) -> dict[str, byte
     """Raw-content dictionaries by language.
 
     The sample is bounded: of each language, keys fall into
-    ``DOCS_PER_LANGUAGE`` hash classes and the key of least hash in each class
-    is taken (a partial aggregation, so a frequent language is no hot spot).
+    ``DOCS_PER_LANGUAGE`` hash classes and of each class one row is taken, that
+    of least hash among those of preferred length, or else among all (a partial
+    aggregation, so a frequent language is no hot spot).
     """
-    known = labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("k is not null and l is not null and length(t) > 0")
+    known = labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(text).alias("m")).where("k is not null and l is not null and length(t) > 0")
     spot = F.xxhash64("k", F.lit("dictionary"))
-    chosen = known.groupBy("l", F.pmod(spot, F.lit(DOCS_PER_LANGUAGE)).alias("class")).agg(F.min(F.struct(spot.alias("h"), "k")).alias("least")).select("l", "least.*")
-    rows = known.join(F.broadcast(chosen), ["k", "l"]).select("l", "h", "k", F.substring("t", 1, CHARS_PER_DOC).alias("t")).distinct().collect()
+    place = F.struct((F.length("t") > PREFERRED_CHARS).alias("long"), spot.alias("h"), "k", "m")
+    chosen = known.groupBy("l", F.pmod(spot, F.lit(DOCS_PER_LANGUAGE)).alias("class")).agg(F.min(place).alias("least")).select("l", "least.h", "least.k", "least.m")
+    rows = known.join(F.broadcast(chosen), ["k", "l", "m"]).select("l", "h", "k", "t").distinct().collect()  # at most DOCS_PER_LANGUAGE for each language
     parts: dict[str, list[tuple[int, int, str]]] = defaultdict(list)
     for r in rows:
         parts[r.l].append((r.h, r.k, r.t))
