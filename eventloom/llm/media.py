@@ -8,8 +8,9 @@ these come the payload again, and by inverse transform and chroma upsampling
 the RGB tensor at full resolution.
 
 Defined results: a null text counts as empty; equal texts give equal values
-(all arithmetic is exact); each row is handled on its own; further columns are
-ignored.
+(all arithmetic is exact); each row is handled on its own, so repeated rows
+agree; a text of any length is one image, made in its own task; an empty table
+gives one; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

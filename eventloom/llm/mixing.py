@@ -11,8 +11,9 @@ source combinations); documents are placed by prefix sums over hash buckets,
 so that a source holding a third of all rows is still spread over many tasks.
 
 Defined results: a null text has size 0; a null source is a source of its own,
-last in order; rows of equal key and size are interchangeable; an empty table
-gives no rows.
+last in order; rows of equal key and size are interchangeable; texts are only
+counted here, whatever their length; further columns are ignored, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.common import read, table, words_in
+from eventloom.llm.common import hot_parts, read, spread_join, table, words_in
 
 SEED = 17
 #: Hash buckets of a pattern: hexadecimal digits.
 BUCKET_DIGITS = 3
+#: The plan is broadcast up to so many patterns, and joined by a shuffle beyond.
+BROADCAST_PATTERNS = 10_000
 MAX_PASSES = 2
 SHARE = 1.5
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -117,7 +120,7 @@ def mix(docs: DataFrame, key: Column, size: Column, sources: Column, *, total: f
     rank = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f":{seed}")))
     base = table(docs.select(key.alias("key"), (F.lit(None).cast("long") if mark is None else mark).alias("mark"), size.cast("long").alias("size"), F.array_sort(F.array_distinct(name)).alias("pattern"), rank.alias("rank")), "mix")
 
-    sums = base.groupBy("pattern").agg(F.sum("size").alias("words")).collect()
+    sums = base.groupBy("pattern").agg(F.sum("size").alias("words"), F.count("*").alias("times")).collect()  # a row for each set of sources that documents have
     patterns = sorted((tuple(r.pattern), r.words) for r in sums)
     names = sorted({s for p, _ in patterns for s in p}, key=lambda s: (s[0] == "n", s))
     at = {s: i for i, s in enumerate(names)}
@@ -144,7 +147,12 @@ def mix(docs: DataFrame, key: Column, size: Column, sources: Column, *, total: f
     before = before.withColumn("before", F.sum("held").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).drop("held")
     inside = Window.partitionBy("pattern", "bucket").orderBy("rank", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(before, ["pattern", "bucket"]).join(F.broadcast(plan), "pattern")
+    placed = placed.join(before, ["pattern", "bucket"])
+    if len(plan_rows) <= BROADCAST_PATTERNS:
+        placed = placed.join(F.broadcast(plan), "pattern")
+    else:
+        counts = spark.createDataFrame([([*r.pattern], r.times) for r in sums], "pattern array<string>, times long")
+        placed = spread_join(placed, plan, ["pattern"], hot_parts(counts, ["pattern"], base.rows), ["rank"])
     middle = F.coalesce("before", F.lit(0)) + F.col("inside") + F.col("size") / 2
     # Pass k covers the words k * words up to (k + 1) * words; a document is in when its middle is below what is taken.
     spots = F.filter(F.transform(F.sequence(F.lit(0), F.lit(passes - 1)), lambda k: k * F.col("words") + middle), lambda m: m < F.col("take"))

@@ -14,7 +14,10 @@
    and look up their interval.
 
 Defined results: a null text counts as empty (the end id alone); rows of equal
-key are pieces of their own; an empty table gives no rows.
+key are pieces of their own; pieces of equal length stand in the order
+of key, place and checksum; a text of any length is encoded in its own task;
+further columns are ignored, whatever their names; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
