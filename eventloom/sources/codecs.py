@@ -288,39 +288,54 @@ def _decode_evt2(data: bytes, h: Header) -> tuple[Columns, Columns]:
     return _events(t[e], x, y, kind[e] == 1), _triggers(t[~e], w[~e] >> 8 & 31, w[~e] & 1)
 
 
+def _latest(there: np.ndarray, values: np.ndarray, at: np.ndarray, default: int = 0) -> np.ndarray:
+    """For each place the value of the last of ``there`` (ascending places) at or before it."""
+    if not len(there):
+        return np.full(len(at), default, np.int64)
+    k = np.searchsorted(there, at, "right") - 1
+    return np.where(k >= 0, values[np.maximum(k, 0)], default)
+
+
+def _evt3_times(kind: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the time words, and the time after each. High parts, which are few, are followed one by one."""
+    highs, full = np.flatnonzero(kind == 8), (1 << 12) - 2
+    high = turns = 0
+    base, taken = np.zeros(len(highs), np.int64), np.zeros(len(highs), bool)
+    for i, v in enumerate(value[highs].tolist()):
+        ahead = v - high
+        turns += ahead < -full
+        if 0 < ahead < full or ahead < -full:  # small steps back, and all but whole turns ahead, are glitches
+            high, taken[i] = v, True
+        base[i] = turns << 24 | high << 12
+    there = np.flatnonzero((kind == 6) | (kind == 8))
+    is_low = kind[there] == 6
+    t = np.where(is_low, _latest(highs, base, there) | value[there], 0)
+    t[~is_low] = np.where(taken, base, 0)  # a high part that counts sets the low one to 0
+    return there, np.maximum.accumulate(t)
+
+
 def _decode_evt3(data: bytes, h: Header) -> tuple[Columns, Columns]:
-    t = low = high = turns = x = y = on = 0
-    events, triggers, full = [], [], (1 << 12) - 2
-    for word in np.frombuffer(data, "<u2", (len(data) - h.length) // 2, h.length).tolist():
-        kind, value = word >> 12, word & 0xFFF
-        if kind == 0:
-            y = value & 2047
-            if y >= h.height:
-                raise ValueError(f"an event lies off the {h.width}x{h.height} sensor")
-        elif kind in (2, 3):
-            x, on = value & 2047, value >> 11
-            if x >= h.width:
-                raise ValueError(f"an event lies off the {h.width}x{h.height} sensor")
-            if kind == 2:
-                events.append((t, x, y, on))
-        elif kind in (4, 5):
-            size = 12 if kind == 4 else 8
-            events += [(t, x + i, y, on) for i in range(min(size, h.width - x)) if value >> i & 1]
-            x = min(x + size, h.width - 1)
-        elif kind in (6, 8):
-            if kind == 6:
-                low = value
-            else:
-                ahead = value - high
-                if ahead < -full:
-                    turns += 1
-                if 0 < ahead < full or ahead < -full:  # small steps back, and all but whole turns ahead, are glitches
-                    high, low = value, 0
-            t = max(t, turns << 24 | high << 12 | low)
-        elif kind == 10:
-            triggers.append((t, value >> 8 & 15, value & 1))
-    e, g = np.array(events, np.int64).reshape(-1, 4), np.array(triggers, np.int64).reshape(-1, 3)
-    return _events(e[:, 0] + h.t0, e[:, 1], e[:, 2], e[:, 3]), _triggers(g[:, 0] + h.t0, g[:, 1], g[:, 2])
+    words = np.frombuffer(data, "<u2", (len(data) - h.length) // 2, h.length).astype(np.int64)
+    kind, value = words >> 12, words & 0xFFF
+    rows, columns = np.flatnonzero(kind == 0), np.flatnonzero((kind == 2) | (kind == 3))
+    if (value[rows] & 2047 >= h.height).any() or (value[columns] & 2047 >= h.width).any():
+        raise ValueError(f"an event lies off the {h.width}x{h.height} sensor")
+    times, t = _evt3_times(kind, value)
+    # A vector starts where the last column and the vectors since then end.
+    size = np.where(kind == 4, 12, np.where(kind == 5, 8, 0))
+    before = np.cumsum(size) - size
+    vectors = np.flatnonzero(size)
+    x = np.minimum(_latest(columns, (value & 2047)[columns] - before[columns], vectors) + before[vectors], h.width - 1)
+    bits = np.arange(12)
+    lit = (value[vectors, None] >> bits & 1 > 0) & (bits < np.minimum(size[vectors], h.width - x)[:, None])
+    which, bit = np.nonzero(lit)
+    single = np.flatnonzero(kind == 2)
+    place = np.concatenate((single, vectors[which]))
+    order = np.argsort(place, kind="stable")
+    place, x = place[order], np.concatenate((value[single] & 2047, x[which] + bit))[order]
+    marks = np.flatnonzero(kind == 10)
+    events = _events(_latest(times, t, place) + h.t0, x, _latest(rows, (value & 2047)[rows], place), _latest(columns, (value >> 11)[columns], place))
+    return events, _triggers(_latest(times, t, marks) + h.t0, value[marks] >> 8 & 15, value[marks] & 1)
 
 
 def encode_evt(c: Columns, width: int, height: int, version: str = "3", zero_t0: bool = True) -> tuple[bytes, int]:
