@@ -579,13 +579,21 @@ def _file_table(index: list[tuple[int, int, int, int, int, int]]) -> bytes:
     return struct.pack("<I", len(body) + len(rows)) + body + rows
 
 
+def aedat_head_size(start: bytes) -> int:
+    """How many bytes the header takes that ``start`` (18 bytes or more) begins with."""
+    return 18 + struct.unpack_from("<I", start, 14)[0]
+
+
 def aedat_index(data: bytes) -> list[tuple[int, int, int, int, int, int]]:
     """Byte offset, track, size, elements, first and last time of each packet, from the table at the end; a reader may skip by it."""
     h = aedat_header(data)
-    if h.more["end"] >= len(data):
-        return []
+    return aedat_table(data[h.more["end"] :], h.more["compression"]) if h.more["end"] < len(data) else []
+
+
+def aedat_table(table: bytes, compression: int) -> list[tuple[int, int, int, int, int, int]]:
+    """The rows of an index table's bytes."""
     out = []
-    for row in _root(_opened(data[h.more["end"] :], h.more["compression"]), 4).tables(0):
+    for row in _root(_opened(table, compression), 4).tables(0):
         at = row.place(1)
         track, size = struct.unpack_from("<ii", row.data, at) if at else (0, 0)
         out.append((row.scalar(0, "q"), track, size, row.scalar(2, "q"), row.scalar(3, "q"), row.scalar(4, "q")))

@@ -28,6 +28,12 @@ class Part(InputPartition):
         self.path, self.packets, self.first = path, packets, first
 
 
+def _head(f) -> bytes:
+    """The header of an open AEDAT file."""
+    start = f.read(18)
+    return start + f.read(codecs.aedat_head_size(start) - 18)
+
+
 class EventFileReader(DataSourceReader):
     def __init__(self, options: dict):
         path = options["path"].removeprefix("file://")
@@ -51,10 +57,12 @@ class EventFileReader(DataSourceReader):
             with open(path, "rb") as f:
                 start = f.read(16)
             if self.kind == "events" and (self.type or codecs.detect(path, start)) == "aedat":
-                with open(path, "rb") as f:
-                    data = f.read()
-                track = next(k["id"] for k in codecs.aedat_header(data).more["tracks"] if (k["data_type"] == "events" if self.track is None else k["id"] == self.track))
-                index = [r for r in codecs.aedat_index(data) if r[1] == track]
+                with open(path, "rb") as f:  # the header and the index only
+                    h = codecs.aedat_header(_head(f))
+                    f.seek(h.more["end"])
+                    table = f.read() if h.more["end"] > h.more["start"] else b""
+                track = next(k["id"] for k in h.more["tracks"] if (k["data_type"] == "events" if self.track is None else k["id"] == self.track))
+                index = [r for r in codecs.aedat_table(table, h.more["compression"]) if r[1] == track] if table else []
                 if index:
                     before = np.concatenate(([0], np.cumsum([r[3] for r in index]))).tolist()
                     hit = [(r, b) for r, b in zip(index, before, strict=False) if r[5] >= self.low and r[4] <= self.high]
@@ -75,8 +83,7 @@ class EventFileReader(DataSourceReader):
         import pyarrow as pa
 
         with open(partition.path, "rb") as f:
-            head = f.read(1 << 20)
-            squeezed = codecs.aedat_header(head).more["compression"]
+            squeezed = codecs.aedat_header(_head(f)).more["compression"]
             for (at, _, size, _, _, _), first in partition.packets:
                 f.seek(at + 8)
                 c = codecs.event_packet(f.read(size), squeezed)

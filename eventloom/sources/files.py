@@ -143,9 +143,15 @@ def records(spark: SparkSession, path: str, kind: str = "events", *, file_type:
 
 
 def header(spark: SparkSession, path: str, file_type: str | None = None, dimensions_fallback=(1280, 720), version_fallback: str | None = None, track_id: int | None = None) -> codecs.Header:
-    """The header alone (the first MB of the file reaches the driver)."""
-    row = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, 1 << 20).alias("content")).first()
+    """The header alone: the first MB of the file reaches the driver, or as much as an AEDAT file's description takes."""
+
+    def first(size: int):
+        return spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, size).alias("content")).orderBy("path").first()
+
+    row = first(1 << 20)
     kind = file_type or codecs.detect(row.path, bytes(row.content[:16]))
+    if kind == "aedat" and codecs.aedat_head_size(bytes(row.content)) > len(row.content):
+        row = first(codecs.aedat_head_size(bytes(row.content)))
     data = bytes(row.content)
     if kind in ("dat", "evt"):
         return codecs.percent_header(data, dimensions_fallback, version_fallback)
