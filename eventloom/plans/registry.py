@@ -223,6 +223,7 @@ def wiggle_frames(spark, d):
 # -- rendering: 256 steps for sequential maps, 129 for each half of signed ones
 
 GREY = Colormap.sequential_from_pair("grey", "#000000", "#ffffff")
+STEPS = Colormap.from_rgb_table("steps", "sequential", np.repeat(np.arange(256)[:, None] / 255, 3, 1))
 SIGNED = Colormap.diverging_from_triplet("signed", "#0000ff", "#000000", "#ff0000")
 _FRAMES = """, p AS (SELECT *, PACKET AS packet FROM e, r), n AS (SELECT CAST(ceil((t1 - t0) / 86400000000.0) AS BIGINT) AS n FROM r),
     f AS (SELECT unnest(range(n)) AS frame FROM n), lab AS (SELECT frame, t0 + CAST(round_even((frame + 1) * 86400000000.0::DOUBLE, 0) AS BIGINT) AS t FROM f, r)""".replace("PACKET", packet_sql("t", "t0", "86400000000.0::DOUBLE"))
@@ -283,14 +284,15 @@ def render_cumulative_clip_degenerate(spark, d):
     return out.select("frame", "t", "x", "y", "half", "idx", F.round("value", 6).alias("value"))
 
 
-@query("render_colors", _LAST + f", q AS (SELECT frame, t, x, y, CAST(round(255 * exp(-(t - t_last)::DOUBLE / {TAU}), 0) AS INTEGER) AS idx FROM v) SELECT frame, t, x, y, idx, 255 AS a FROM q")
+@query("render_colors", _LAST + f", q AS (SELECT frame, t, x, y, CAST(round(255 * exp(-(t - t_last)::DOUBLE / {TAU}), 0) AS INTEGER) AS idx FROM v) SELECT frame, t, x, y, idx, idx AS r, idx AS g, idx AS b, 255 AS a FROM q")
 def render_colors(spark, d):
-    return stream(spark, d).regularize(DAILY).render("exponential", TAU, GREY).colored().select("frame", "t", "x", "y", "idx", "a")
+    """On a map whose colours are the greys of their steps."""
+    return stream(spark, d).regularize(DAILY).render("exponential", TAU, STEPS).colored().select("frame", "t", "x", "y", "idx", "r", "g", "b", "a")
 
 
-@query("frame_scale", _LAST + " SELECT frame, x * 2 + dx AS x, y * 2 + dy AS y FROM v, (SELECT unnest([0, 1]) AS dx), (SELECT unnest([0, 1]) AS dy)")
+@query("frame_scale", _LAST + f" SELECT frame, x * 2 + dx AS x, y * 2 + dy AS y, CASE WHEN (t - t_last)::DOUBLE <= {TAU} THEN 255 ELSE 0 END AS idx FROM v, (SELECT unnest([0, 1]) AS dx), (SELECT unnest([0, 1]) AS dy)")
 def frame_scale(spark, d):
-    return stream(spark, d).regularize(DAILY).render("window", TAU, GREY).scale(2).pixels.select("frame", "x", "y")
+    return stream(spark, d).regularize(DAILY).render("window", TAU, GREY).scale(2).pixels.select("frame", "x", "y", "idx")
 
 
 @query("frame_rewind", _LAST + ", q AS (SELECT frame, count(*) AS pixels FROM v WHERE frame >= 3 GROUP BY frame), m AS (SELECT max(frame) AS last FROM q) SELECT frame - 3 AS turn, frame, pixels FROM q UNION ALL SELECT 2 * (last - 3) - (frame - 3), frame, pixels FROM q, m WHERE frame > 3 AND frame < last")

@@ -13,10 +13,7 @@ from eventloom.model import ImageStream
 from eventloom.operators import animation, frames, plots, summary
 from eventloom.plans import adapter
 from eventloom.plans.adapter import HEIGHT, WIDTH, workspace
-from eventloom.plans.registry import DAILY, TAU, _LAST, line_stream, query, stream
-
-STEPS = Colormap.from_rgb_table("steps", "sequential", np.repeat(np.arange(256)[:, None] / 255, 3, 1))
-
+from eventloom.plans.registry import DAILY, STEPS, TAU, _LAST, line_stream, query, stream
 
 def _each(df: DataFrame, function, schema: str) -> DataFrame:
     """``function`` of the values of each row, which gives a row of ``schema``."""
