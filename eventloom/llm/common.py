@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The whitespace of every contract here: space and the code points 9 to 13.
@@ -33,17 +35,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet into the shared folder and read back.
+def table(df: DataFrame, name: str, items: Column | None = None) -> DataFrame:
+    """``df`` written once as Parquet into the shared folder and read back; ``rows`` is how many there are, and ``items`` the sum of a column.
 
     This cuts the lineage: a lost executor costs tasks of the running stage
     only, and several consumers read the table rather than recompute it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    counted = Observation()
+    df.observe(counted, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.lit(0) if items is None else items), F.lit(0)).alias("items")).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
+    out.stored_at, out.rows, out.items = path, counted.get["rows"], counted.get["items"]  # counted as they are written: a lost task may count twice
     return out
 
 
@@ -60,13 +63,17 @@ SHARE = 10_000
 #: A key of at most so many rows is never split.
 WHOLE_KEY = 64
 #: Tables are broadcast up to this size, and joined by a shuffle beyond.
-BROADCAST_BYTES = 16_000_000
+BROADCAST_BYTES = 8_000_000
+#: An item of a list in such a table takes about so many.
+ITEM_BYTES = 40
 
 
 def fits_broadcast(right: DataFrame, width: int) -> bool:
     """Whether ``right`` (a stored table, or cheap to count), of about ``width`` bytes a row, is small enough to broadcast."""
-    most = BROADCAST_BYTES // width
-    return right.limit(most + 1).count() <= most
+    rows = getattr(right, "rows", None)
+    if rows is None:
+        rows = right.limit(BROADCAST_BYTES // width + 1).count()
+    return rows * width + getattr(right, "items", 0) * ITEM_BYTES <= BROADCAST_BYTES
 
 
 def hot_parts(counts: DataFrame, on: list[str], total: int) -> DataFrame:
@@ -91,7 +98,14 @@ def lookup(left: DataFrame, right: DataFrame, on: str, by: list[str], *, width:
     if fits_broadcast(right, width):
         return left.join(F.broadcast(right), on, how)
     counts = left.groupBy(on).agg(F.count("*").alias("times"))
-    return spread_join(left, right, [on], hot_parts(counts, [on], left.count()), by, how)
+    return spread_join(left, right, [on], hot_parts(counts, [on], left.rows if hasattr(left, "rows") else left.count()), by, how)
+
+
+def part_of(stored: DataFrame, *columns) -> DataFrame:
+    """Columns of a stored table, which keep its count."""
+    out = stored.select(*columns)
+    out.rows, out.items = stored.rows, stored.items
+    return out
 
 
 def free_names(docs: DataFrame, *names: str) -> list[str]:
@@ -115,22 +129,29 @@ def key_name(key: Column) -> Column:
     return F.concat(F.when(key.isNull(), F.lit("n")).otherwise(F.lit("k")), F.coalesce(key.cast("string"), F.lit("")))
 
 
-def with_found(docs: DataFrame, key: str, text: str, found: DataFrame, width: int) -> DataFrame:
-    """``row`` (all of a row of ``docs`` as a struct), ``text``, and the columns of ``found`` (_id, _text, ..., a stored table of about ``width`` bytes a row) or nulls.
+def with_found(docs: DataFrame, key: str, text: str, found: DataFrame) -> DataFrame:
+    """``row`` (all of a row of ``docs`` as a struct), ``text``, and the columns of ``found`` (_id, _text, ...) or nulls.
 
-    While ``found`` is small the texts don't move; beyond that they are
-    shuffled once, and rows that repeat very often are split.
+    ``found`` grows with the documents, so it isn't broadcast: the texts are
+    shuffled once, at any size, and rows that repeat very often are split.
     """
     rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), *same_row(F.col(key), F.col(text)))
-    if fits_broadcast(found, width):
-        return rows.join(F.broadcast(found), ["_id", "_text"], "left").drop("_id", "_text")
     counts = rows.groupBy("_id", "_text").agg(F.count("*").alias("times"))
-    many = table(counts.where(F.col("times") > WHOLE_KEY), "repeated")
-    parts = hot_parts(many, ["_id", "_text"], many.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0])
+    many = table(counts.where(F.col("times") > WHOLE_KEY), "repeated", F.col("times"))
+    parts = hot_parts(many, ["_id", "_text"], many.items)
     rows = rows.withColumn("_any", F.monotonically_increasing_id())  # only deals rows out; any value will do
     return spread_join(rows, found, ["_id", "_text"], parts, ["_any"], "left").drop("_id", "_text", "_any")
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """``batches`` in smaller ones, so that what is made of a batch is small too; memory that a batch took is given back after it."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def words_in(text: Column) -> Column:
     """The number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))

@@ -79,11 +79,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *, gra
     runs = table(runs.select("k", "_id", "_text", F.explode("runs").alias("r")).select("k", "_id", "_text", "r.*"), "runs")
     place = F.struct("k", "at")
     first = table(runs.groupBy("k1", "k2").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("times")).where("lo < hi").select("k1", "k2", "lo", "times"), "first")
-    later = spread_join(runs, first.drop("times"), ["k1", "k2"], hot_parts(first, ["k1", "k2"], runs.count()), ["_id", "_text"]).where(place > F.col("lo"))
+    later = spread_join(runs, first.drop("times"), ["k1", "k2"], hot_parts(first, ["k1", "k2"], runs.rows), ["_id", "_text"]).where(place > F.col("lo"))
     gone = table(later.groupBy("_id", "_text").agg(F.collect_set(F.struct("at", "size")).alias("at")), "gone")
 
     n_lines, n_removed = free_names(docs, "_lines", "_removed")
-    out = with_found(docs, key, text, gone, 200).withColumn("every", split_lines(F.col("text")))
+    out = with_found(docs, key, text, gone).withColumn("every", split_lines(F.col("text")))
     out = out.withColumn("own", F.filter(F.sequence(F.lit(1), F.size("every")), lambda i: bare(F.element_at("every", i)) != ""))
     places = F.array_distinct(F.flatten(F.transform("at", lambda s: F.transform(F.sequence(s["at"], s["at"] + s["size"] - 1), lambda i: F.element_at("own", i)))))
     out = out.withColumn("gone", F.when(F.col("at").isNotNull(), places))
