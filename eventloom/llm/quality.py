@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.llm.common import discard, fits_broadcast, free_names, hot_parts, key_name, read, spread_join, table
+from eventloom.llm.common import discard, fits_broadcast, free_names, hot_parts, key_name, read, sliced, spread_join, table
 
 ORDER = 5
 #: Limits on the trusted perplexities of a language.
@@ -64,8 +64,8 @@ BROADCAST_GRAMS = 4_000_000
 ALL, NONE = "*", ""
 #: What stands before a text, as a character.
 PAD = 2
-#: Texts are taken in slices of about so many characters.
-_SLICE = 1 << 21
+#: Texts are taken in slices of about so many characters, and in larger ones to count, where a slice gives its distinct grams.
+_SLICE, _COUNT_SLICE = 1 << 17, 1 << 20
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -82,12 +82,12 @@ def characters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.concatenate(([0], np.cumsum(keep)))[starts]
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``_SLICE`` characters together."""
+def _slices(texts: list[str | None], size: int = _SLICE) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``size`` characters together."""
     i = 0
     while i < len(texts):
         j, held = i, 0
-        while j < len(texts) and (j == i or held + len(texts[j] or "") <= _SLICE):
+        while j < len(texts) and (j == i or held + len(texts[j] or "") <= size):
             held += len(texts[j] or "") + ORDER
             j += 1
         yield i, j
@@ -98,7 +98,7 @@ def hashes(data: np.ndarray) -> Iterator[np.ndarray]:
     """For sizes 1 to ORDER the hash of the gram that ends at each character (those before the first count as 0)."""
     wide, run, power = data.astype(np.uint64), np.zeros(len(data), np.uint64), 1
     for size in range(1, ORDER + 1):
-        run[size - 1 :] += wide[: len(wide) - size + 1] * np.uint64(power)
+        run[size - 1 :] += wide[: max(0, len(wide) - size + 1)] * np.uint64(power)
         power = power * int(_P) % (1 << 64)
         x = (run ^ (run >> np.uint64(31))) * _Q + np.uint64(size)
         yield x ^ (x >> np.uint64(29))
@@ -121,12 +121,13 @@ def counted(trusted: DataFrame) -> DataFrame:
     """``lang, gram, n``: the grams of ORDER characters in ``trusted`` (lang, text), of each language and of all together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2048):
             for lang, rows in _by_language(batch):
                 texts = batch.column(1).take(pa.array(rows)).to_pylist()
-                for i, j in _slices(texts):
+                for i, j in _slices(texts, _COUNT_SLICE):
                     data, starts = characters(texts[i:j])
-                    *_, whole = hashes(data)
+                    for whole in hashes(data):  # the last are those of the longest grams
+                        pass
                     at = np.flatnonzero(_own(starts, len(data)))
                     _, first, n = np.unique(whole[at], return_index=True, return_counts=True)
                     if len(n):
@@ -205,38 +206,40 @@ def hashed(model: DataFrame) -> DataFrame:
 
 
 class Lookup:
-    """Grams by hash, by open addressing in arrays."""
+    """Grams by hash, by open addressing in arrays; gain and back-off weight are the parts of a complex number."""
 
     def __init__(self, keys: np.ndarray, gain: np.ndarray, back: np.ndarray):
-        size = 1 << max(4, (2 * len(keys)).bit_length())
+        size = 1 << max(4, (3 * len(keys)).bit_length())
         self.mask = np.uint64(size - 1)
-        self.keys, self.gain, self.back, used = np.zeros(size, np.uint64), np.zeros(size, np.float32), np.zeros(size, np.float32), np.zeros(size, bool)
+        self.keys, self.values = np.zeros(size, np.uint64), np.zeros(size, np.complex64)
         left, slot = np.arange(len(keys)), (keys & self.mask).astype(np.int64)
         self.probes = 0
         while len(left):
-            free = ~used[slot]
+            free = np.flatnonzero(self.keys[slot] == 0)  # an empty slot's key is 0
             spots, first = np.unique(slot[free], return_index=True)
-            now = left[free][first]
-            used[spots], self.keys[spots], self.gain[spots], self.back[spots] = True, keys[now], gain[now], back[now]
+            now = left[free[first]]
+            self.keys[spots], self.values[spots] = keys[now], gain[now] + 1j * back[now]
             stay = np.ones(len(left), bool)
-            stay[np.flatnonzero(free)[first]] = False
+            stay[free[first]] = False
             left, slot = left[stay], (slot[stay] + 1) & int(self.mask)
             self.probes += 1
 
-    def add(self, h: np.ndarray, gain: np.ndarray, back: np.ndarray) -> None:
-        """Adds the values of the grams that are known to ``gain`` and ``back``."""
-        at, slot = None, (h & self.mask).astype(np.int64)
-        for k in range(self.probes):
-            now = slot if at is None else (slot[at] + k) & int(self.mask)
-            same = self.keys[now] == (h if at is None else h[at])
-            spots, places = (np.flatnonzero(same), now[same]) if at is None else (at[same], now[same])
-            gain[spots] += self.gain[places]
-            back[spots] += self.back[places]
-            # An empty slot ends the search; its key is 0.
-            go = ~same & (self.keys[now] != 0)
-            at = np.flatnonzero(go) if at is None else at[go]
+    def add(self, h: np.ndarray, values: np.ndarray) -> None:
+        """Adds what the known grams have to ``values``."""
+        slot = (h & self.mask).view(np.int64)
+        found = self.keys[slot]
+        same = found == h
+        at = np.flatnonzero(same)
+        values[at] += self.values[slot[at]]
+        at = np.flatnonzero(~same & (found != 0))  # an empty slot ends the search
+        for k in range(1, self.probes):
             if not len(at):
                 return
+            now = (slot[at] + k) & int(self.mask)
+            found = self.keys[now]
+            same = found == h[at]
+            values[at[same]] += self.values[now[same]]
+            at = at[~same & (found != 0)]
 
 
 def most_frequent(whole: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -255,14 +258,13 @@ def sums(texts: list[str | None], known: Lookup, base: float, start: float) -> t
     total, sizes, most = np.zeros(len(texts)), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     for i, j in _slices(texts):
         data, starts = characters(texts[i:j])
-        gain, back = np.zeros(len(data), np.float32), np.zeros(len(data), np.float32)
+        values = np.zeros(len(data), np.complex64)
         for h in hashes(data):
-            known.add(h, gain, back)
-        own = _own(starts, len(data))
-        gain[~own] = back[~own] = 0
+            known.add(h, values)
+        values[~_own(starts, len(data))] = 0
         n = np.diff(starts) - (ORDER - 1)
-        run = np.concatenate(([0.0], np.cumsum(gain, dtype=np.float64) + np.cumsum(back, dtype=np.float64)))
-        last = np.where(n > 0, back[np.maximum(starts[1:] - 1, 0)], 0.0) if len(data) else 0.0
+        run = np.concatenate(([0.0], np.cumsum(values.real + values.imag, dtype=np.float64)))
+        last = np.where(n > 0, values.imag[np.maximum(starts[1:] - 1, 0)], 0.0) if len(data) else 0.0
         total[i:j] = np.where(n > 0, run[starts[1:]] - run[starts[:-1]] - last + n * base + start, 0.0)
         sizes[i:j], most[i:j] = n, most_frequent(h, starts)
     return total, sizes, most
@@ -282,16 +284,19 @@ def scored(docs: DataFrame, model: DataFrame, lang: str, text: str) -> DataFrame
     rows = docs.select(F.struct("*").alias("row"), named)
     place = docs.columns.index(text)
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("named", T.StringType()), T.StructField("logp", T.DoubleType()), T.StructField("symbols", T.LongType()), T.StructField("most", T.LongType())])
-    if model.limit(BROADCAST_GRAMS + 1).count() > BROADCAST_GRAMS:
+    if model.rows > BROADCAST_GRAMS:
         return _joined(rows.withColumn("text", F.col("row").getField(text)), model, constants)
-    got = hashed(model).where("hash != 0").toArrow()
-    langs = np.array(got["lang"].to_pylist(), object)
+    got = hashed(model).where("hash != 0").toArrow().combine_chunks()
+    langs = got["lang"].combine_chunks().dictionary_encode() if got.num_rows else None
+    codes = {x: k for k, x in enumerate(langs.dictionary.to_pylist())} if langs else {}
     columns = [got["hash"].to_numpy().view(np.uint64), *(got[c].to_numpy() for c in ("gain", "back"))]
-    sent = docs.sparkSession.sparkContext.broadcast({x: [np.ascontiguousarray(c[langs == x]) for c in columns] for x in constants})
+    places = {x: np.flatnonzero(langs.indices.to_numpy() == codes[x]) if x in codes else [] for x in constants}
+    sent = docs.sparkSession.sparkContext.broadcast({x: [c[places[x]] for c in columns] for x in constants})
+    del got, langs, columns, places
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, Lookup] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             logp, sizes, most = np.zeros(len(batch)), np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             for name, places in _by_language(batch.select([1])):
                 if name in constants:
