@@ -9,7 +9,8 @@ other than the first of its kind covers is removed, with the space after it.
 
 First means least in the order of key and position. Texts are compared by
 words, so spacing doesn't matter. Per span only two hashes, the key and its
-place move; a shared span costs what its occurrences cost, no pairs are formed.
+place move; a shared span costs what its occurrences cost, no pairs are formed,
+and a span of very many occurrences is split in the joins.
 
 With ``most`` a span holds at most so many words, and ends within a sentence if
 it must; and of every ``gap`` words in a row none of which starts a sentence,
@@ -20,8 +21,10 @@ wherever the run stands: one starts among its words 2 to ``gap + 1``. With
 ``gap`` at most ``words`` the spans of a longer run leave no holes.
 
 Defined results: a null text stays null; texts with fewer sentences or words
-than a span needs stay as they are; rows of equal key count as standing at the
-same place, so neither of two repeated rows is the later; null keys come first.
+than a span needs, and empty tables, stay as they are; a text of any length is
+cut in its own row; rows of equal key count as standing at the same place, so
+neither of two repeated rows is the later; null keys come first; further
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import read
+from eventloom.llm.common import discard, hot_parts, key_name, read, spread_join, table, with_found
 
 SENTENCES = 3
 WORDS = 20
 #: The query's spans: repeated runs of GAP + MOST words hold one, whatever their sentences.
 GAP, MOST = 20, 30
-#: ``rest`` is b (the digest's second half), row, start and stop: in one array, so that both uses shuffle the same columns, which Spark then does once.
-SPANS = "key long, spans array<struct<a: long, rest: array<long>>>"
+#: ``a`` and ``b`` are the halves of a span's digest.
+SPANS = "key long, row long, spans array<struct<a: long, b: long, start: int, stop: int>>"
 
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 _STOP = np.isin(np.arange(256), list(b".!?"))
@@ -110,28 +113,27 @@ def all_spans(docs: DataFrame, key: str, text: str, sentences: int, words: int,
         for batch in batches:
             found = [spans((t or "").encode(), sentences, words, xxhash.xxh3_128_digest, gap, most) for t in batch.column(1).to_pylist()]
             ids = np.frombuffer(b"".join(x for f in found for x in f[0]), np.int64).reshape(-1, 2)
-            places = [np.concatenate([np.empty(0, np.int64), *(f[k] for f in found)]) for k in (1, 2)]
-            count = [len(f[0]) for f in found]
-            rest = np.stack((ids[:, 1], np.repeat(np.asarray(batch.column(2)), count), *places), 1)
-            rest = pa.ListArray.from_arrays(pa.array(np.arange(0, rest.size + 1, 4), pa.int32()), pa.array(rest.ravel()))
-            held = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(ids[:, 0])), rest], names=["a", "rest"])
-            offsets = pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, held)], ["key", "spans"])
+            places = [pa.array(np.concatenate([np.empty(0, np.int64), *(f[k] for f in found)]).astype(np.int32)) for k in (1, 2)]
+            held = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(ids[:, k])) for k in (0, 1)] + places, names=["a", "b", "start", "stop"])
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(f[0]) for f in found]))), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(offsets, held)], ["key", "row", "spans"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("row")).mapInArrow(run, SPANS)
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text).isNull(), F.col(text)).alias("row")).mapInArrow(run, SPANS)
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", *, sentences: int = SENTENCES, words: int = WORDS, gap: int = 0, most: int | None = None) -> DataFrame:
-    """``key, row, cover``: for each row that has any, its spans (first, one past last word) that aren't the first of their kind."""
+    """A table ``key, row, cover``: for each row that has any, its spans (first, one past last word) that aren't the first of their kind."""
     # Counting and the rest each hash the texts: a stored table of all spans would take more disk than the texts take time.
-    found = all_spans(docs, key, text, sentences, words, gap, most).select("key", F.explode("spans").alias("s")).select("key", "s.*")
-    often = found.groupBy("a").agg(F.count("*").alias("times")).where("times > 1").select("a")
-    met = found.join(often, "a", "left_semi")
-    b, row, start, stop = (F.get("rest", F.lit(i)) for i in range(4))
-    place = F.struct("key", start.alias("start"))
-    first = met.groupBy("a", b.alias("b")).agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").select(F.col("a").alias("fa"), F.col("b").alias("fb"), "lo")
-    later = met.join(first, (F.col("a") == F.col("fa")) & b.eqNullSafe(F.col("fb"))).where(place > F.col("lo"))
-    return later.groupBy("key", row.alias("row")).agg(F.collect_set(F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"))).alias("cover"))
+    found = all_spans(docs, key, text, sentences, words, gap, most).select("key", "row", F.explode("spans").alias("s")).select("key", "row", "s.*")
+    often = table(found.groupBy("a").agg(F.count("*").alias("times")).where("times > 1"), "often")
+    total = often.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    met = table(spread_join(found, often.select("a"), ["a"], hot_parts(often, ["a"], total), ["row", "start"], "left_semi"), "met")
+    place = F.struct("key", "start")
+    first = table(met.groupBy("a", "b").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("times")).where("lo < hi").select("a", "b", "lo", "times"), "first")
+    later = spread_join(met, first.drop("times"), ["a", "b"], hot_parts(first, ["a", "b"], total), ["row", "start"]).where(place > F.col("lo"))
+    out = table(later.groupBy("key", "row").agg(F.collect_set(F.struct("start", "stop")).alias("cover")), "cover")
+    discard(often, met, first)
+    return out
 
 
 REMOVED = "key long, text string, n_removed long"
@@ -163,9 +165,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64())], ["key", "text", "n_removed"])
 
     cover = repeated_spans(docs, key, text, sentences=sentences, words=words, gap=gap, most=most)
-    base = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("row")).alias("d")
-    joined = base.join(cover.alias("c"), F.col("d.key").eqNullSafe(F.col("c.key")) & F.col("d.row").eqNullSafe(F.col("c.row")), "left")  # an equality would add a filter to one of the two uses of the spans
-    return joined.select("d.key", "d.text", "cover").mapInArrow(run, REMOVED)
+    base = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    joined = with_found(base, "key", "text", cover.select(key_name(F.col("key")).alias("_id"), F.col("row").alias("_text"), "cover"))
+    return joined.select("row.key", "text", "cover").mapInArrow(run, REMOVED)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
