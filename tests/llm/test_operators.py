@@ -247,6 +247,12 @@ def test_quality_against_dictionaries(spark, model, monkeypatch):
             assert r.most == max(Counter(tuple(s[i : i + 5]) for i in range(len(s) - 4)).values(), default=0)
 
 
+def test_gram_hashes():
+    for grams in (["a"], ["ab", "漢字"], ["a", "é"], ["abcde"]):
+        one = [list(quality.hashes(np.array([ord(c) for c in "x" * (5 - len(g)) + g], np.uint32)))[len(g) - 1][-1] for g in grams]
+        assert quality.gram_hashes(np.array(grams, object)).tolist() == [int(h) for h in one]
+
+
 def test_quality_probabilities_sum_to_one(model):
     texts, _ = model
     _, p, known = plain_kn(texts["xx"])
