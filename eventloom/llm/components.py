@@ -22,15 +22,15 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         seen = both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("times"))
         low = seen.select("a", F.least("a", "low").alias("low"))
-        parts = hot_parts(seen, ["a"], 2 * (mark[0] if mark else now.count()))
+        parts = hot_parts(seen, ["a"], 2 * now.rows)
         large = table(spread_join(both, low, ["a"], parts, ["b"]).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a != b").distinct(), "large")
         seen = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("times"))
         least = seen.select("a", "low")
-        small = spread_join(large, least, ["a"], hot_parts(seen, ["a"], large.count()), ["b"])
+        small = spread_join(large, least, ["a"], hot_parts(seen, ["a"], large.rows), ["b"])
         small = small.where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(least.select("a", F.col("low").alias("b"))).distinct()
-        new = table(small, "edges")
+        new = table(small, "edges", F.xxhash64("a", "b").cast("decimal(38,0)"))
         discard(now, large)
-        now, last, mark = new, mark, tuple(new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        now, last, mark = new, mark, (new.rows, new.items)
         if mark == last:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

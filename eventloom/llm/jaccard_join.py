@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from eventloom.llm.common import discard, fits_broadcast, hot_parts, lookup, read, spread_join, table
+from eventloom.llm.common import discard, fits_broadcast, hot_parts, lookup, part_of, read, sliced, spread_join, table
 from eventloom.llm.components import merged
 
 WORDS, NUM, DEN = 4, 85, 100
@@ -159,7 +159,7 @@ def signed(docs: DataFrame, words: int, num: int, den: int, wider: dict[int, int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = _hasher()
         lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
-        for batch in batches:
+        for batch in sliced(batches):
             n, s1, s2, sketches, keys, room, short = [], [], [], [], [], [], []
             for t in batch.column(2).to_pylist():
                 h = shingles(t, words, digest)
@@ -185,7 +185,7 @@ def sets_of(texts: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = _hasher()
-        for batch in batches:
+        for batch in sliced(batches):
             good, bags = [], []
             for i, (s1, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 h = shingles(t, words, digest)
@@ -222,13 +222,13 @@ def linked(pairs: DataFrame, facts: DataFrame, docs: DataFrame, words: int, num:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     counts = pairs.groupBy("a").agg(F.count("*").alias("times"))
-    parts = F.broadcast(hot_parts(counts, ["a"], pairs.count()))
+    parts = F.broadcast(hot_parts(counts, ["a"], pairs.rows))
     dealt = pairs.join(parts, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)).cast("long")).cast("int").alias("part"))
     role = lambda other: F.struct("a", "part", other.cast("long").alias("other"))
     roles = dealt.select(F.col("b").alias("cls"), role(F.col("b")).alias("role")).unionByName(dealt.select("a", "part").distinct().select(F.col("a").alias("cls"), role(F.lit(None)).alias("role")))
     roles = roles.groupBy("cls").agg(F.collect_list("role").alias("roles"))  # as many as the pairs of one class in this round
-    wanted = table(facts.join(roles, "cls").select("cls", F.col("doc").alias("d"), F.col("mark").alias("m"), "s1", "roles"), "wanted")
-    wanted_rows = F.broadcast(wanted) if fits_broadcast(wanted, 100) else wanted
+    wanted = table(facts.join(roles, "cls").select("cls", F.col("doc").alias("d"), F.col("mark").alias("m"), "s1", "roles"), "wanted", F.size("roles"))
+    wanted_rows = F.broadcast(wanted) if fits_broadcast(wanted, 150) else wanted
     texts = docs.join(wanted_rows, F.col("doc").eqNullSafe(F.col("d")) & F.col("mark").eqNullSafe(F.col("m")))
     if repeated:  # of repeated rows one for each task that reads them, and of these one
         texts = texts.groupBy("cls", "s1").agg(F.first("roles").alias("roles"), F.first("text").alias("text"))
@@ -257,7 +257,7 @@ def sketched(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFram
     if fits_broadcast(facts, 400):
         return pairs.join(F.broadcast(side("a")), "a").join(F.broadcast(side("b")), "b").where(plausible(num, den)).select("a", "b")
     hot = lambda x: hot_parts(pairs.groupBy(x).agg(F.count("*").alias("times")), [x], total)
-    total = pairs.count()
+    total = pairs.rows
     both = spread_join(spread_join(pairs, side("b"), ["b"], hot("b"), ["a"]), side("a"), ["a"], hot("a"), ["b"])
     return both.where(plausible(num, den)).select("a", "b")
 
@@ -429,9 +429,9 @@ def joined(docs: DataFrame, key: Column, text: Column, *, words: int = WORDS, nu
     several = table(counts.where("times > 1"), "several")
     parts = hot_parts(several, ["s1", "s2"], several.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0])
     named = table(spread_join(full, several.select("s1", "s2", "cls"), ["s1", "s2"], parts, ["rid"], "left").withColumn("cls", F.coalesce("cls", "rid")), "classes")
-    repeats = named.where("rid != cls").select("rid")
+    repeats = table(named.where("rid != cls").select("rid"), "repeats")
+    classes = named.rows - repeats.rows
     repeated = bool(base.groupBy("doc", "mark").count().where("count > 1").limit(1).count())
-    classes = named.where("rid = cls").count()
 
     groups = shared_blocks(rows, repeats)
     met = table(groups.select(F.col("x").alias("cls")).distinct(), "met")
@@ -444,7 +444,7 @@ def joined(docs: DataFrame, key: Column, text: Column, *, words: int = WORDS, nu
         """``found``, a stored table, with the component of ``x`` so far."""
         if root is None:
             return found.withColumn(name, F.col(x))
-        named = root.select(F.col("node").alias(x), F.col("root").alias(name))
+        named = part_of(root, F.col("node").alias(x), F.col("root").alias(name))
         return lookup(found, named, x, [c for c in found.columns if c != x], how="left").withColumn(name, F.coalesce(name, x))
 
     def apart(found: DataFrame) -> DataFrame:
@@ -456,16 +456,16 @@ def joined(docs: DataFrame, key: Column, text: Column, *, words: int = WORDS, nu
     def verified(found: DataFrame) -> None:
         """Merges the components that the pairs (a, b), a stored table, link."""
         nonlocal root, tried
-        if found.limit(1).count():
+        if found.rows:
             tried = found if tried is None else tried.unionByName(found)
             links = table(linked(found, facts, docs, words, num, den, repeated), "links")
-            if links.limit(1).count():
+            if links.rows:
                 root = merged(root, links)
 
     def settled(found: DataFrame) -> None:
         """Verifies the pairs, a stored table, as far as their ends are in different components: of each b one a first, twice, and then the rest."""
         for part in (F.min("a"), F.max("a"), None):
-            if not found.limit(1).count():
+            if not found.rows:
                 return
             now = found if part is None else table(found.groupBy("b").agg(part.alias("a")).select("a", "b"), "first")
             verified(now)
@@ -481,15 +481,17 @@ def joined(docs: DataFrame, key: Column, text: Column, *, words: int = WORDS, nu
     turn, turns, forest = 0, 1, True
     while turn < turns:
         placed = table(rooted(rest, "x", "root"), "placed")
+        if not placed.rows:
+            break
         parts = placed.groupBy("g", "root").agg(F.count("*").alias("k"))
         mixed = parts.groupBy("g").agg(F.count("*").alias("parts"), F.max(F.struct("k", "root")).alias("most"), F.sum("k").alias("held")).where("parts > 1")
         mixed = table(mixed.select("g", F.col("most.root").alias("largest"), "held", (F.col("held") - F.col("most.k")).alias("others")), "mixed")
-        rest = table(lookup(rest, mixed.select("g"), "g", ["x"]), "rest")  # a group in one component stays so
+        rest = table(lookup(rest, part_of(mixed, "g"), "g", ["x"]), "rest")  # a group in one component stays so
         load = mixed.agg(F.sum(F.col("held") + (F.col("held") * F.col("others") / TILE).cast("long"))).first()[0] or 0
         turns = max(turns, turn + 1 + int(load) // (TURN_ROWS + ROWS_PER_CLASS * classes))
         chosen = F.pmod(F.xxhash64("g", F.lit(turn)), F.lit(turns - turn)) == 0  # of the last turn all
-        now = table(lookup(placed, mixed.where(chosen), "g", ["x"], width=40).withColumn("main", F.col("root") == F.col("largest")), "now")
-        now = lookup(now, facts.select(F.col("cls").alias("x"), "n", "sketch"), "x", ["g"], width=400)
+        now = table(lookup(placed, mixed if turn + 1 == turns else mixed.where(chosen), "g", ["x"], width=40).withColumn("main", F.col("root") == F.col("largest")), "now")
+        now = lookup(now, part_of(facts, F.col("cls").alias("x"), "n", "sketch"), "x", ["g"], width=400)
         both = table(tiled(now, num, den, forest).distinct(), "tiles")
         verified(table(both if tried is None else both.join(tried, ["a", "b"], "left_anti"), "near"))
         if not forest:  # the groups of this turn are done
