@@ -2,6 +2,11 @@
 
 Each stage is one operator of ``eventloom.llm``, works on all that its
 predecessor kept, and is written as Parquet before the next one reads it.
+
+Defined results in every stage: an empty table gives one; rows of null id, of
+null, empty or very long text and repeated rows are handled as each operator
+says, and a row is told by its id and text; further columns go along, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -10,12 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm import jaccard_join, line_dedup, mixing, packing, quality
-from eventloom.llm.common import read, table, words_in
+from eventloom.llm.common import key_name, lookup, read, table, with_found, words_in
 
 #: Near copies share this similarity of shingles of so many words.
 NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 80, 100
-#: Ids to drop are broadcast up to this many rows, and joined by a shuffle beyond.
-BROADCAST_ROWS = 1_000_000
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,26 +38,26 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     Rows are told apart by id and text: other texts of an id stay, also of a null id.
     """
-    found = table(jaccard_join.joined(docs, F.col("doc_id"), F.col("text"), words=NEAR_WORDS, num=NEAR_NUM, den=NEAR_DEN, mark=F.xxhash64("text")).select("doc", "mark", "root"), "near")
+    mark = F.xxhash64(F.col("text").isNull(), F.col("text"))  # as ``with_found`` tells texts
+    found = table(jaccard_join.joined(docs, F.col("doc_id"), F.col("text"), words=NEAR_WORDS, num=NEAR_NUM, den=NEAR_DEN, mark=mark).select("doc", "mark", "root"), "near")
     place = F.struct(F.col("doc").isNull().alias("none"), "doc", "mark")
-    least = found.where("root IS NOT NULL").groupBy("root").agg(F.min(place).alias("least"))
-    gone = found.join(least, "root").where(place != F.col("least")).select("doc", "mark").distinct()
-    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    mark = F.xxhash64("text")
-    left = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").eqNullSafe(F.col("doc")) & (mark == F.col("mark")), "left_anti")
-    again = table(found.groupBy("doc", "mark").count().where("count > 1").select("doc", "mark"), "again")
-    if not again.limit(1).count():
-        return left
-    same = F.col("doc_id").eqNullSafe(F.col("doc")) & (mark == F.col("mark"))
-    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    # Components of one row need no join, and rows of an empty text have none.
+    least = found.where("root IS NOT NULL").groupBy("root").agg(F.min(place).alias("least"), F.count("*").alias("rows")).where("rows > 1").select("root", "least")
+    state = lookup(found, table(least, "least"), "root", ["mark"], width=60, how="left").groupBy("doc", "mark").agg(F.min(F.coalesce(place == F.col("least"), F.lit(True))).alias("stays"), F.count("*").alias("times"))
+    state = table(state.where("NOT stays OR times > 1").select(key_name(F.col("doc")).alias("_id"), F.col("mark").alias("_text"), "stays", "times"), "state")
+    left = with_found(docs, "doc_id", "text", state).where("stays IS NULL OR stays")
+    once = left.where("times > 1").groupBy("row.doc_id", "text").agg(F.first("row").alias("row"))
+    return left.where("times IS NULL OR times = 1").select("row").unionByName(once.select("row")).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, which may be never."""
-    mixed = mixing.mix(docs, F.col("doc_id"), words_in(F.col("text")), F.array("source"), mark=F.xxhash64("text"))
-    passes = mixed.groupBy("key", "mark").agg(F.max(F.size("routed")).alias("_passes")).where("_passes > 0")
-    both = docs.withColumn("_mark", F.xxhash64("text")).join(passes, F.col("doc_id").eqNullSafe(F.col("key")) & (F.col("_mark") == F.col("mark")))
-    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_passes"))).alias("_pass")).drop("_pass")
+    mark = F.xxhash64(F.col("text").isNull(), F.col("text"))
+    mixed = mixing.mix(docs, F.col("doc_id"), words_in(F.col("text")), F.array("source"), mark=mark)
+    passes = mixed.groupBy("key", "mark").agg(F.max(F.size("routed")).alias("passes")).where("passes > 0")
+    passes = table(passes.select(key_name(F.col("key")).alias("_id"), F.col("mark").alias("_text"), "passes"), "passes")
+    taken = with_found(docs, "doc_id", "text", passes).where("passes IS NOT NULL")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("passes")))).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
