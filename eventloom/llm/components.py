@@ -2,11 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import discard, hot_parts, lookup, spread_join, table
 
+#: So many edges, whatever the input's size, are taken in one task.
+FEW = 10_000
+
+
+def of_few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, root`` of the edges (a, b) of one task."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (above := up.setdefault(x, x)) != x:
+            up[x] = x = up[above]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = sorted((top(a), top(b)))
+            up[b] = a
+    yield pa.RecordBatch.from_arrays([pa.array([*up], pa.int64()), pa.array([top(x) for x in up], pa.int64())], ["node", "root"])
+
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (a, b: long); the root is the least node of the component.
@@ -14,9 +36,12 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps: each rewires neighbours to
     the least node known, until nothing changes. Only edges are stored, never
     members of a component in one row, and each step is a partial aggregation
-    and a join, in which a node of very many edges is split.
+    and a join, in which a node of very many edges is split. At most ``FEW``
+    edges need no steps.
     """
     now = table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
+    if now.rows <= FEW:
+        return now.coalesce(1).mapInArrow(of_few, "node long, root long")
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

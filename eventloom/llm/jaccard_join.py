@@ -15,10 +15,12 @@ component of links share the component's least key.
    1 + s of the first D + 1 + s. Each document emits so many, in its band and
    in the next one if a partner can be there. Equal sets are one class, and
    only one of them emits.
-3. Keys that more than ``HOT`` classes share (a passage that many documents
-   quote) are dropped by each class that has at most s of them: any partner
-   shares one more key with it. What is left are groups of at most ``HOT``
-   classes, and groups of those that are made of such passages altogether.
+3. Each class drops those s of its shared keys that most classes share (a
+   passage that many documents quote), in one order of all keys: any partner
+   shares 1 + s keys with it, so of these both keep the one that fewest share.
+   A class with at most s shared keys has no partner and is done. What is left
+   are groups of at most ``HOT`` classes, and larger groups of those that are
+   made of such passages altogether.
 4. In each group all are compared with the first. A parity sketch of about as
    many bits as the set has elements (so that it doesn't saturate, however
    large the set is) rules out what isn't similar by its Hamming distance; the
@@ -30,7 +32,8 @@ component of links share the component's least key.
    tiles are done in turns of bounded size with components merged between. A
    tile first gives only a least spanning forest of the pairs that its
    sketches allow, so groups of near copies never form all their pairs; then,
-   of components that are still apart, all pairs that sketches can't rule out.
+   of groups where that left out pairs and of components that are still apart,
+   all pairs that sketches can't rule out.
    No link between components is lost.
 
 Defined results: a null or empty text has the empty set and links with
@@ -112,7 +115,7 @@ def spare_blocks(n: int, num: int, den: int) -> int:
 
 
 def hot_room(n: int, num: int, den: int) -> int:
-    """How many hot keys a set of n may drop: its partners, down to the smallest, emit so many blocks more than can differ."""
+    """How many shared keys a set of n may drop: its partners, down to the smallest, emit so many blocks more than can differ."""
     return spare_blocks(n * num // den, num, den)
 
 
@@ -154,7 +157,7 @@ def _hasher():
 
 
 def signed(docs: DataFrame, words: int, num: int, den: int, wider: dict[int, int]) -> DataFrame:
-    """``SIGNED`` for each row of ``docs`` (doc, mark, text): size, two checksums of the set, sketch, block keys and how many hot ones it may drop."""
+    """``SIGNED`` for each row of ``docs`` (doc, mark, text): size, two checksums of the set, sketch, block keys and how many shared ones it may drop."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = _hasher()
@@ -323,7 +326,7 @@ def least_forest(p: np.ndarray, q: np.ndarray, away: np.ndarray, root: np.ndarra
 
 
 def tiled(placed: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
-    """The plausible pairs (a, b) of different roots in the tiles of ``placed`` (g, x, root, n, sketch, main, held, others), or of each tile a least spanning forest of them."""
+    """The plausible pairs (a, b) of different roots in the tiles of ``placed`` (g, x, root, n, sketch, main, held, others), or of each tile a least spanning forest of them, and then a row of g alone where that leaves out pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -336,15 +339,20 @@ def tiled(placed: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
             starts = np.asarray(lists.offsets, np.int64)
             flat = np.asarray(lists.values)
             edges = np.flatnonzero((g[1:] != g[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
-            out = []
+            out, cut = [], []
             for i, j in zip(np.concatenate(([0], edges)), np.concatenate((edges, [len(g)])), strict=True):
                 if j - i > 1 and (lo[i] == hi[i] or slot[i] != slot[j - 1]):
                     p, q, away = tile_pairs(slot[i:j], root[i:j], n[i:j], flat, starts[i : j + 1], num, den)
-                    p, q = least_forest(p, q, away, root[i:j]) if forest and len(p) > 1 else (p, q)
+                    if forest and len(p) > 1:
+                        every = len(p)
+                        p, q = least_forest(p, q, away, root[i:j])
+                        cut += [int(g[i])] * (len(p) < every)
                     out.append((x[i:j][p], x[i:j][q]))
             a = np.concatenate([np.empty(0, np.int64), *(o[0] for o in out)])
             b = np.concatenate([np.empty(0, np.int64), *(o[1] for o in out)])
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            none = pa.nulls(len(cut), pa.int64())
+            columns = [pa.concat_arrays([pa.array(f(a, b)), none]) for f in (np.minimum, np.maximum)]
+            return pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(cut, pa.int64())])], ["a", "b", "g"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -371,7 +379,7 @@ def tiled(placed: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
     sketch = F.when((F.col("held") <= HOT) & (F.size("sketch") >= 8), half(half(F.col("sketch")))).otherwise(F.col("sketch")).alias("sketch")
     dealt = placed.select("g", "x", "root", "n", sketch, slot.alias("slot"), F.explode(F.sequence(F.lit(0), F.when(F.col("main"), odd).otherwise(whole) - 1)).alias("t"))
     dealt = dealt.select("g", F.least("slot", "t").alias("lo"), F.greatest("slot", "t").alias("hi"), "slot", "x", "root", "n", "sketch")
-    return dealt.repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi", "slot").mapInArrow(run, "a long, b long")
+    return dealt.repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi", "slot").mapInArrow(run, "a long, b long, g long")
 
 
 def shared_blocks(rows: DataFrame, repeats: DataFrame) -> DataFrame:
@@ -386,27 +394,24 @@ def shared_blocks(rows: DataFrame, repeats: DataFrame) -> DataFrame:
     shared = table(emitted.groupBy("key").agg(F.count("*").alias("times")).where("times > 1"), "shared")
     total = shared.agg(F.sum("times")).first()[0] or 0
     top = hot_parts(shared.where(F.col("times") > HOT), ["key"], total)
-    emitted = emitted.join(F.broadcast(top), "key", "left")
+    emitted = emitted.join(F.broadcast(top.join(shared, "key").select("key", F.col("times").alias("most"))), "key", "left")
     # Keys of very many rows are known to be hot and shared, and aren't shuffled.
-    rest = emitted.where("parts IS NULL").select("rid", "key").join(shared, "key")
+    met = emitted.where("most IS NULL").select("rid", "key").join(shared, "key").unionByName(emitted.where("most IS NOT NULL").select("rid", "key", F.col("most").alias("times")))
+    last = Window.partitionBy("rid", F.col("key").bitwiseAND(F.lit(1))).orderBy(F.col("times").desc(), "key")
+    met = met.join(rows.select("rid", "room"), "rid").withColumn("place", F.row_number().over(last)).where("place > room")
+    hit = table(met.select(F.col("rid").alias("x"), "key", (F.col("times") > HOT).alias("hot")), "hit")
+
     own = Window.partitionBy("key")
-    sign = lambda seed: F.bit_xor(F.xxhash64("rid", F.lit(seed)))
-    met = rest.select("rid", "key", (F.col("times") > HOT).alias("hot"), F.min("rid").over(own).alias("c"), sign(1).over(own).alias("g1"), sign(2).over(own).alias("g2"))
-    met = met.unionByName(emitted.where("parts IS NOT NULL").select("rid", "key", F.lit(True).alias("hot"), *[F.lit(0).cast("long").alias(x) for x in ("c", "g1", "g2")]))
-    hit = table(met, "hit")
-    cold = hit.where("NOT hot").select(F.xxhash64("g1", "g2").alias("g"), "c", F.col("rid").alias("x")).distinct()
-
-    band = F.col("key").bitwiseAND(F.lit(1)).alias("band")
-    hot = hit.where("hot").select("rid", "key", band)
-    many = hot.groupBy("rid", "band").agg(F.count("*").alias("held"))
-    many = table(many.join(rows.select("rid", "room"), "rid").where("held > room").select("rid", "band"), "many")
-    held = table(hot.join(many, ["rid", "band"]).select(F.col("rid").alias("x"), "key"), "held")
     sign = lambda seed: F.bit_xor(F.xxhash64("x", F.lit(seed)))
+    cold = hit.where("NOT hot").select("x", F.count("*").over(own).alias("m"), F.min("x").over(own).alias("c"), sign(1).over(own).alias("g1"), sign(2).over(own).alias("g2"))
+    cold = cold.where("m > 1").select(F.xxhash64("g1", "g2").alias("g"), "c", "x").distinct()
+
+    held = table(hit.where("hot").select("x", "key"), "held")
     named = table(held.groupBy("key").agg(F.min("x").alias("c"), F.count("*").alias("m"), sign(1).alias("g1"), sign(2).alias("g2")).where("m > 1").select("key", "c", F.xxhash64("g1", "g2").alias("g")), "named")
     one = named.groupBy("g").agg(F.min("key").alias("key"), F.min("c").alias("c"))  # of keys with the same members, one
     warm = lookup(held, table(one, "one"), "key", ["x"], width=24).select("g", "c", "x")
     out = table(cold.unionByName(warm), "groups")
-    discard(shared, hit, held, named, many)
+    discard(shared, hit, held, named)
     return out
 
 
@@ -493,11 +498,12 @@ def joined(docs: DataFrame, key: Column, text: Column, *, words: int = WORDS, nu
         now = table(lookup(placed, mixed if turn + 1 == turns else mixed.where(chosen), "g", ["x"], width=40).withColumn("main", F.col("root") == F.col("largest")), "now")
         now = lookup(now, part_of(facts, F.col("cls").alias("x"), "n", "sketch"), "x", ["g"], width=400)
         both = table(tiled(now, num, den, forest).distinct(), "tiles")
-        verified(table(both if tried is None else both.join(tried, ["a", "b"], "left_anti"), "near"))
-        if not forest:  # the groups of this turn are done
-            rest = table(rest.where(~chosen), "rest")
-            turn += 1
-        forest = not forest
+        near = both.where("a IS NOT NULL").select("a", "b")
+        verified(table(near if tried is None else near.join(tried, ["a", "b"], "left_anti"), "near"))
+        cut = table(both.where("a IS NULL").select("g", F.lit(True).alias("cut")), "cut")  # of these groups the forests left out pairs; the others of this turn are done
+        rest = table(lookup(rest, cut, "g", ["x"], how="left").where(~chosen | F.col("cut")).select("g", "x") if cut.rows else rest.where(~chosen), "rest")
+        forest = not (forest and cut.rows)
+        turn += forest
     whole = table(rooted(named, "cls", "root"), "whole")
     least = table(whole.groupBy("root").agg(F.min("doc").alias("component"), F.count("*").alias("times")), "least")
     more = table(least.where("times > 1").select("root", F.col("component").alias("least"), F.lit(True).alias("more")), "more")

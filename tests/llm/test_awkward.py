@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from eventloom.llm import common, exact_dedup, jaccard_join, language_id, line_dedup, media, mixing, packing, pii, quality, substring_dedup
+from eventloom.llm import common, components, exact_dedup, jaccard_join, language_id, line_dedup, media, mixing, packing, pii, quality, substring_dedup
 from tests.llm.test_operators import plain_components, removed_lines
 
 DIR = "/root/testdata/sf0.001"
@@ -269,3 +269,24 @@ def test_languages_against_plain_compression(spark, frames, rows):
         second = min(v for x, v in sizes.items() if x != best)
         assert r.lang_pred == best and r.margin == pytest.approx((second - sizes[best]) / second) and r.accepted == (r.margin >= language_id.LEAST_MARGIN)
         assert r.score == pytest.approx(1 / sum(2.0 ** (-0.5 * min(v - sizes[best], 2000)) for v in sizes.values()))
+
+
+def test_few_shared_keys_make_no_groups(spark):
+    """Sets of 300 words of which any two share 30: some keys are shared by few of them, but by fewer than a partner would share, so no group is left."""
+    rng = random.Random(5)
+    common_words = [f"s{i}" for i in range(30)]
+    rows = [(i, " ".join(common_words + [f"w{rng.randrange(10**9)}" for _ in range(270)])) for i in range(20)]
+    rows += [(50, rows[0][1] + " more"), (51, rows[1][1] + " more")]
+    docs = spark.createDataFrame(rows, "doc long, text string").withColumn("mark", F.xxhash64("text"))
+    signed = common.table(jaccard_join.signed(docs, 1, 85, 100, {}).withColumn("rid", F.monotonically_increasing_id()), "signed")
+    assert signed.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 2").count() > 0
+    groups = jaccard_join.shared_blocks(signed, common.table(signed.where("rid < 0").select("rid"), "repeats"))
+    assert {r.doc for r in groups.join(signed, F.col("x") == F.col("rid")).select("doc").distinct().collect()} == {0, 1, 50, 51}
+
+
+def test_components_by_steps_and_in_one_task(spark, monkeypatch):
+    rng = random.Random(3)
+    edges = spark.createDataFrame([(rng.randrange(400), rng.randrange(400)) for _ in range(200)] + [(7, 7)], "a long, b long")
+    few = {tuple(r) for r in components.components(edges).collect()}
+    monkeypatch.setattr(components, "FEW", 0)
+    assert few == {tuple(r) for r in components.components(edges).collect()} and len(few) == len({x for x, _ in few}) > 200
