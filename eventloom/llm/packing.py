@@ -25,7 +25,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,8 @@ VOCABULARY = "byte_bpe_50k.json"
 SALTS, ROWS_PER_SALT = 64, 1 << 20
 #: Entries of each half of a worker's cache from a stretch of text to its ids, and the longest stretch that it keeps.
 CACHE, LONGEST = 650_000, 48
+#: Entries of its cache from a piece of a stretch to its ids.
+PIECES_KEPT = 100_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -52,6 +54,16 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class Known(dict):
+    """A dictionary that asks ``missing`` for the values that it doesn't hold."""
+
+    def __init__(self, missing: Callable[[str], bytes]):
+        self.missing = missing
+
+    def __missing__(self, x: str) -> bytes:
+        return self.missing(x)
+
+
 class Encoder:
     """Token ids of whole texts, equal to the tokenizer's own, by stretches.
 
@@ -76,8 +88,10 @@ class Encoder:
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.meeting = re.compile(r"\s |\x20\s")
         self.white = [c for c in map(chr, range(1, 0x3001)) if c.isspace() and c not in " \n"]
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = Known(self.missing)
+        self.extra: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.merge = self.tokenizer.model.tokenize
         self.letters = byte_letters()
 
@@ -98,34 +112,44 @@ class Encoder:
         letters = part.replace(" ", "\u0120") if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.merge(letters)]).tobytes()
 
-    def encoded(self, new: set[str]) -> Iterator[tuple[str, bytes]]:
-        """Each stretch with its ids."""
-        known, part = self.known, self.part
-        for x in new:
-            word = x[:-1]
-            if x in self.added:
-                yield x, array("I", [self.added[x]]).tobytes()
-            elif x[1:].isalpha() and x[0] == " ":
-                yield x, part(x)
-            elif x[-1:] in (".", ",") and word[1:].isalpha() and word[0] == " ":  # the pattern cuts before the mark
-                yield x, (known.get(word) or part(word)) + part(x[-1])
-            else:
-                yield x, b"".join(map(part, self.pattern.findall(x)))
+    def piece(self, piece: str) -> bytes:
+        """``part`` of a piece of a stretch, which many stretches may have: looked up, and kept if it is short."""
+        ids = self.pieces.get(piece) or self.known.get(piece) or self.older.get(piece)
+        if ids is None:
+            ids = self.part(piece)
+            if len(piece) <= LONGEST:
+                self.pieces[piece] = ids
+        return ids
+
+    def stretch(self, x: str) -> bytes:
+        """The ids of any stretch."""
+        word = x[:-1]
+        if x in self.added:
+            return array("I", [self.added[x]]).tobytes()
+        if x[1:].isalpha() and x[0] == " ":
+            return self.part(x)
+        if x[-1:] in (".", ",") and word[1:].isalpha() and word[0] == " ":  # the pattern cuts before the mark
+            return self.piece(word) + self.piece(x[-1])
+        return b"".join(map(self.piece, self.pattern.findall(x)))
+
+    def missing(self, x: str) -> bytes:
+        """The ids of a stretch that isn't among the known ones, which are kept for later."""
+        short = len(x) <= LONGEST
+        ids = (self.older if short else self.extra).get(x)  # what is still used comes back from the older half
+        if ids is None:
+            ids = self.stretch(x)
+        (self.known if short else self.extra)[x] = ids
+        return ids
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        if len(self.known) > CACHE:  # what is still used comes back from the older half
-            self.known, self.older = {}, self.known
-        cut = [self.stretches(t) for t in texts]
-        extra: dict[str, bytes] = {}
-        new = set().union(*cut) - self.known.keys()
-        again = new & self.older.keys()
-        self.known.update((x, self.older[x]) for x in again)
-        new -= again
-        for x, ids in self.encoded(new):
-            (self.known if len(x) <= LONGEST else extra)[x] = ids
-        get = self.known if not extra else {**self.known, **extra}
-        return [b"".join(map(get.__getitem__, c)) for c in cut]
+        if len(self.known) > CACHE:
+            self.known, self.older = Known(self.missing), self.known
+        if len(self.pieces) > PIECES_KEPT:
+            self.pieces = {}
+        self.extra = {}
+        get = self.known.__getitem__
+        return [b"".join(map(get, self.stretches(t))) for t in texts]
 
 
 def pieces_of(count: int, capacity: int) -> list[tuple[int, int]]:

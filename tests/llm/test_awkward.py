@@ -290,3 +290,15 @@ def test_components_by_steps_and_in_one_task(spark, monkeypatch):
     few = {tuple(r) for r in components.components(edges).collect()}
     monkeypatch.setattr(components, "FEW", 0)
     assert few == {tuple(r) for r in components.components(edges).collect()} and len(few) == len({x for x, _ in few}) > 200
+
+
+def test_pieces_are_encoded_once():
+    """Marks and words that many stretches share go through the tokenizer's merges once; also with nothing kept, ids stay those of the tokenizer."""
+    encoder = packing.Encoder(packing.VOCABULARY)
+    merge, seen = encoder.merge, []
+    encoder.merge = lambda letters: seen.append(letters) or merge(letters)
+    texts = [f"a word{i}, word{i}. (word{i}) word{i}; " + "x" * 60 + f" {'y' * 60} é{i}, <|endoftext|>\n" for i in range(30)]
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder(texts)] == want
+    assert len([x for x in seen if len(x) <= packing.LONGEST]) == len({x for x in seen if len(x) <= packing.LONGEST})
+    assert [np.frombuffer(x, "<u4").tolist() for t in texts for x in encoder([t])] == want
