@@ -383,7 +383,7 @@ def tiled(placed: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
 
 
 def shared_blocks(rows: DataFrame, repeats: DataFrame) -> DataFrame:
-    """A table ``g, c, x``: the groups g of classes x that share keys, each with its first class c.
+    """A table ``g, c, x, m``: the groups g of m classes x that share keys, each with its first class c.
 
     Keys of the same members are one group. ``repeats`` holds the rows that
     aren't the first of their class.
@@ -404,17 +404,26 @@ def shared_blocks(rows: DataFrame, repeats: DataFrame) -> DataFrame:
     own = Window.partitionBy("key")
     sign = lambda seed: F.bit_xor(F.xxhash64("x", F.lit(seed)))
     cold = hit.where("NOT hot").select("x", F.count("*").over(own).alias("m"), F.min("x").over(own).alias("c"), sign(1).over(own).alias("g1"), sign(2).over(own).alias("g2"))
-    cold = cold.where("m > 1").select(F.xxhash64("g1", "g2").alias("g"), "c", "x").distinct()
+    cold = cold.where("m > 1").select(F.xxhash64("g1", "g2").alias("g"), "c", "x", "m").distinct()
 
     held = table(hit.where("hot").select("x", "key"), "held")
-    named = table(held.groupBy("key").agg(F.min("x").alias("c"), F.count("*").alias("m"), sign(1).alias("g1"), sign(2).alias("g2")).where("m > 1").select("key", "c", F.xxhash64("g1", "g2").alias("g")), "named")
-    one = named.groupBy("g").agg(F.min("key").alias("key"), F.min("c").alias("c"))  # of keys with the same members, one
-    warm = lookup(held, table(one, "one"), "key", ["x"], width=24).select("g", "c", "x")
+    named = table(held.groupBy("key").agg(F.min("x").alias("c"), F.count("*").alias("m"), sign(1).alias("g1"), sign(2).alias("g2")).where("m > 1").select("key", "c", "m", F.xxhash64("g1", "g2").alias("g")), "named")
+    one = named.groupBy("g").agg(F.min("key").alias("key"), F.min("c").alias("c"), F.min("m").alias("m"))  # of keys with the same members, one
+    warm = lookup(held, table(one, "one"), "key", ["x"], width=32).select("g", "c", "x", "m")
     out = table(cold.unionByName(warm), "groups")
     discard(shared, hit, held, named)
     return out
 
 
+def of_class(members: DataFrame, right: DataFrame, *, width: int = 16, how: str = "inner") -> DataFrame:
+    """The members (g, x) of groups joined to ``right``, which has a row for a class x: by a broadcast while that is small, else by a shuffle.
+
+    A class is in no more groups than its document has keys, so none is hot,
+    however large a group is, and each row passes through one join.
+    """
+    return members.join(F.broadcast(right) if fits_broadcast(right, width) else right, "x", how)
+
+
 def joined(docs: DataFrame, key: Column, text: Column, *, words: int = WORDS, num: int = NUM, den: int = DEN, mark: Column | None = None) -> DataFrame:
     """``doc, n, s1, component`` for each row of ``docs``; where a ``mark`` (long) tells apart rows of one key, also ``mark`` and the component's own number ``root``, which is null for empty sets."""
     extra = [] if mark is None else ["mark", "root"]
@@ -481,11 +490,12 @@ def joined(docs: DataFrame, key: Column, text: Column, *, words: int = WORDS, nu
     settled(table(sketched(firsts, facts, num, den), "pairs"))
     discard(firsts)
 
-    # The first of each group has met all others. What is left are groups of several components among these.
-    rest = table(groups.where("c != x").select("g", "x"), "rest")
+    # The first of each group has met all others. What is left are groups of several components among these; groups of two are done.
+    rest = table(groups.where("c != x AND m > 2").select("g", "x"), "rest")
     turn, turns, forest = 0, 1, True
     while turn < turns:
-        placed = table(rooted(rest, "x", "root"), "placed")
+        placed = rest.withColumn("root", F.col("x")) if root is None else of_class(rest, part_of(root, F.col("node").alias("x"), "root"), how="left").withColumn("root", F.coalesce("root", "x"))
+        placed = table(placed.select("g", "x", "root"), "placed")
         if not placed.rows:
             break
         parts = placed.groupBy("g", "root").agg(F.count("*").alias("k"))
@@ -496,7 +506,7 @@ def joined(docs: DataFrame, key: Column, text: Column, *, words: int = WORDS, nu
         turns = max(turns, turn + 1 + int(load) // (TURN_ROWS + ROWS_PER_CLASS * classes))
         chosen = F.pmod(F.xxhash64("g", F.lit(turn)), F.lit(turns - turn)) == 0  # of the last turn all
         now = table(lookup(placed, mixed if turn + 1 == turns else mixed.where(chosen), "g", ["x"], width=40).withColumn("main", F.col("root") == F.col("largest")), "now")
-        now = lookup(now, part_of(facts, F.col("cls").alias("x"), "n", "sketch"), "x", ["g"], width=400)
+        now = of_class(now, part_of(facts, F.col("cls").alias("x"), "n", "sketch"), width=400)
         both = table(tiled(now, num, den, forest).distinct(), "tiles")
         near = both.where("a IS NOT NULL").select("a", "b")
         verified(table(near if tried is None else near.join(tried, ["a", "b"], "left_anti"), "near"))

@@ -284,6 +284,29 @@ def test_few_shared_keys_make_no_groups(spark):
     assert {r.doc for r in groups.join(signed, F.col("x") == F.col("rid")).select("doc").distinct().collect()} == {0, 1, 50, 51}
 
 
+def test_members_of_groups_pass_one_join(spark, narrow, monkeypatch):
+    """Pairs leave no members to compare again, and what is left of larger groups isn't dealt out by class."""
+    rng = random.Random(11)
+    say = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    pairs = [[own, [*own, "more"]] for own in (say(100) for _ in range(12))]
+    base = say(100)
+    larger = [[*base[:-9], *say(9)] for _ in range(6)] + [[*base[:-30], *say(30)] for _ in range(6)]
+    left, dealt, table, spread = [], [], common.table, common.spread_join
+    monkeypatch.setattr(jaccard_join, "table", lambda df, name, *more: (out := table(df, name, *more), left.append(out.rows) if name == "rest" else None)[0])
+    monkeypatch.setattr(common, "spread_join", lambda a, b, on, *more: (dealt.append(on), spread(a, b, on, *more))[1])
+
+    def components(texts):
+        rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+        got = jaccard_join.joined(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id"), F.col("text"), words=1).select("doc", "n", "component").collect()
+        assert Counter(map(tuple, got)) == Counter(plain_components(rows, 1, 85, 100))
+        return len({r.component for r in got})
+
+    assert components([t for pair in pairs for t in pair]) == 12 and left == [0]
+    left.clear()
+    assert components(larger) > 1 and left[0] > 0
+    assert dealt and ["x"] not in dealt
+
+
 def test_components_by_steps_and_in_one_task(spark, monkeypatch):
     rng = random.Random(3)
     edges = spark.createDataFrame([(rng.randrange(400), rng.randrange(400)) for _ in range(200)] + [(7, 7)], "a long, b long")
