@@ -57,7 +57,7 @@ def payload_of(info: dict) -> bytes:
 def feature(rgb: np.ndarray) -> str:
     """Size, mean of each channel, and share of horizontal change, from exact sums."""
     n = rgb.shape[0] * rgb.shape[1]
-    means = rgb.reshape(-1, 3).sum(0, dtype=np.int64)
+    means = [rgb[:, :, k].sum(dtype=np.int64) for k in range(3)]
     change = int(np.abs(np.diff(rgb[:, :, 1].astype(np.int16), axis=1)).sum(dtype=np.int64))
     return f"{rgb.shape[0]}x{rgb.shape[1]};" + ",".join(f"{1000 * int(m) // n}" for m in means) + f";{1000 * change // n}"
 

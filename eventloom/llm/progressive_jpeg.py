@@ -91,17 +91,23 @@ def pack(segment: np.ndarray, value: np.ndarray, bits: np.ndarray, count: int, r
 
     ``restarts`` holds for each segment the number of the marker after it, or -1.
     """
-    total = np.bincount(segment, bits, count).astype(np.int64)
+    edges = np.concatenate(([0], np.cumsum(np.bincount(segment, minlength=count))))
+    ends = np.concatenate(([0], np.cumsum(bits)))
+    total = np.diff(ends[edges])
     size = (total + 7) // 8
     first = np.concatenate(([0], np.cumsum(size)))
-    gap = first[:-1] * 8 - np.concatenate(([0], np.cumsum(total)[:-1]))
-    at = np.concatenate(([0], np.cumsum(bits)[:-1])) + gap[segment]
-    # Ones fill each segment's last byte. Items never share a bit, so that sums of their words are the stream.
-    fill = size * 8 - total
-    at, value, bits = np.concatenate((at, first[:-1] * 8 + total)), np.concatenate((value, (1 << fill) - 1)), np.concatenate((bits, fill))
+    at = ends[:-1] + np.repeat(first[:-1] * 8 - ends[edges[:-1]], np.diff(edges))
     both = value.astype(np.uint64) << (64 - (at & 31) - bits).astype(np.uint64)
-    words = int(first[-1]) // 4 + 2
-    stream = np.bincount(at >> 5, both >> np.uint64(32), words + 1) + np.bincount((at >> 5) + 1, both & np.uint64(0xFFFFFFFF), words + 1)
+    # Items never share a bit, so that sums of their words are the stream.
+    word = at >> 5
+    opens = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+    both, word = np.add.reduceat(both, opens), word[opens]
+    # Ones fill each segment's last byte.
+    fill = size * 8 - total
+    at = first[:-1] * 8 + total
+    stream = np.bincount(at >> 5, ((1 << fill) - 1) << (32 - (at & 31) - fill), int(first[-1]) // 4 + 3).astype(np.uint64)
+    stream[word] += both >> np.uint64(32)
+    stream[word + 1] += both & np.uint64(0xFFFFFFFF)
     raw = stream.astype(">u4").view(np.uint8)[: int(first[-1])]
     full = np.concatenate(([0], np.cumsum(raw == 255)))
     marks = np.concatenate(([0], np.cumsum(restarts >= 0)))
@@ -116,22 +122,29 @@ def pack(segment: np.ndarray, value: np.ndarray, bits: np.ndarray, count: int, r
 
 def _ac_first(c: np.ndarray, first: int, last: int, low: int, table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     code, bits = table
-    v = np.sign(c[:, first : last + 1]) * (np.abs(c[:, first : last + 1]) >> low)
-    row, col = np.nonzero(v)
-    same = np.concatenate(([False], row[1:] == row[:-1]))
-    run = col - np.where(same, np.concatenate(([0], col[:-1])), -1) - 1
-    value = v[row, col].astype(np.int64)
-    size = sizes_of(value)
+    width = last + 1 - first
+    own = np.ascontiguousarray(c[:, first : last + 1]).ravel()
+    a = np.abs(own) >> low
+    place = np.flatnonzero(a > 0)
+    row = place // width
+    col = place - row * width
+    same = np.concatenate(([False], row[1:] == row[:-1]))[: len(row)]
+    run = col - np.where(same, np.concatenate(([0], col[:-1]))[: len(row)], -1) - 1
+    a = a[place].astype(np.int64)
+    size = _SIZES[a]
     symbol = (run % 16 << 4) | size
-    tail = np.full(len(v), -1)
+    tail = np.full(len(c), -1)
     tail[row] = col
-    ends = np.flatnonzero(tail < last - first)
-    far = run >= 16
-    zrl = np.repeat(np.flatnonzero(far), run[far] // 16)  # a symbol for every 16 zeros before
-    key = np.concatenate((row * 128 + col * 2 + 1, row[zrl] * 128 + col[zrl] * 2, ends * 128 + 127))
-    order = np.argsort(key, kind="stable")
-    put = lambda own, zeros, end: np.concatenate((own, np.full(len(zrl), zeros), np.full(len(ends), end)))[order]
-    return key[order] >> 7, put((code[symbol] << size) | _magnitude(value, size), code[0xF0], code[0]), put(bits[symbol] + size, bits[0xF0], bits[0])
+    end = tail < last - first
+    zrl = run >> 4  # a symbol for every 16 zeros before
+    items = np.bincount(row, minlength=len(c)) + np.bincount(row, zrl, len(c)).astype(np.int64) + end
+    stop = np.cumsum(items)
+    # Each block has its coefficients, with symbols for long runs before them, and then its end.
+    value, length = np.full(int(stop[-1]), code[0xF0]), np.full(int(stop[-1]), bits[0xF0])
+    at = np.arange(len(row)) + np.cumsum(zrl) + (np.cumsum(end) - end)[row]
+    value[at], length[at] = (code[symbol] << size) | np.where(own[place] < 0, (np.int64(1) << size) - 1 - a, a), bits[symbol] + size
+    value[stop[end] - 1], length[stop[end] - 1] = code[0], bits[0]
+    return np.repeat(np.arange(len(c)), items), value, length
 
 
 def _ac_refined(c: np.ndarray, first: int, last: int, low: int, table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,17 +159,33 @@ def _ac_refined(c: np.ndarray, first: int, last: int, low: int, table) -> tuple[
     stop = new | long_run
     span = np.cumsum(stop, 1, dtype=np.int32) - stop
     # A span is its symbol, then a correction bit for each coefficient in it that was there before.
-    r, k = np.nonzero(stop)
-    run = np.where(new[r, k], since[r, k] % 16, 15)
-    symbol = (run << 4) | new[r, k]
+    width = last + 1 - first
+    flat = np.flatnonzero(stop)
+    r = flat // width
+    k = flat - r * width
+    fresh = new.ravel()[flat]
+    run = np.where(fresh, since.ravel()[flat] % 16, 15)
+    symbol = (run << 4) | fresh
     sign = (c[r, k + first] > 0).astype(np.int64)
-    value, length = np.where(new[r, k], (code[symbol] << 1) | sign, code[symbol]), bits[symbol] + new[r, k]
-    left = np.flatnonzero(~new[:, -1])
-    ro, ko = np.nonzero(old)
-    row = np.concatenate((r, left, ro))
-    key = np.concatenate((span[r, k] * 128, stop[left].sum(1) * 128, span[ro, ko] * 128 + 1 + ko))
-    order = np.argsort(row * (64 * 128 + 128) + key, kind="stable")
-    return row[order], np.concatenate((value, np.full(len(left), code[0]), a[ro, ko] & 1))[order], np.concatenate((length, np.full(len(left), bits[0]), np.ones(len(ro), np.int64)))[order]
+    before = k + 1 - zeros.ravel()[flat] - events.ravel()[flat]  # so many corrections up to a stop
+    shift = np.concatenate(([0], before[:-1]))[: len(r)]
+    shift[np.concatenate(([True], r[1:] != r[:-1]))[: len(r)]] = 0
+    end = ~new[:, -1]
+    stops, olds = np.bincount(r, minlength=len(a)), np.count_nonzero(old, 1)
+    items = stops + olds + end
+    opens = np.cumsum(items) - items
+    value, length = np.empty(int(items.sum()), np.int64), np.ones(int(items.sum()), np.int64)
+    at = opens[r] + span.ravel()[flat] + shift
+    value[at], length[at] = np.where(fresh, (code[symbol] << 1) | sign, code[symbol]), bits[symbol] + fresh
+    done = np.zeros(len(a), np.int64)
+    done[r] = before
+    at = (opens + stops + done)[end]
+    value[at], length[at] = code[0], bits[0]
+    flat = np.flatnonzero(old)
+    ro = flat // width
+    at = np.arange(len(flat)) + (opens + 1 - (np.cumsum(olds) - olds))[ro] + span.ravel()[flat]
+    value[at] = a.ravel()[flat] & 1
+    return np.repeat(np.arange(len(a)), items), value, length
 
 
 def _segment(marker: int, body: bytes) -> bytes:
@@ -223,7 +252,7 @@ class _Bits:
     """Reads at many places of one destuffed buffer."""
 
     def __init__(self, data: np.ndarray):
-        d = np.concatenate((data, np.full(4, 255, np.uint8))).astype(np.int64)
+        d = np.concatenate((data, np.full(4, 255, np.uint8))).astype(np.uint32)
         self.words = (d[:-3] << 24) | (d[1:-2] << 16) | (d[2:-1] << 8) | d[3:]
 
     def peek(self, at: np.ndarray) -> np.ndarray:

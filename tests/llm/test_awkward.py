@@ -325,3 +325,22 @@ def test_pieces_are_encoded_once():
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder(texts)] == want
     assert len([x for x in seen if len(x) <= packing.LONGEST]) == len({x for x in seen if len(x) <= packing.LONGEST})
     assert [np.frombuffer(x, "<u4").tolist() for t in texts for x in encoder([t])] == want
+
+
+@pytest.mark.parametrize("share", [0, 0.02, 0.3, 1])
+def test_media_items_are_placed_without_a_sort(monkeypatch, share):
+    """Blocks without coefficients, with long runs of zeros and with none: the items of each scan are put where they belong, not sorted."""
+    rng = np.random.default_rng(int(100 * share))
+
+    def refused(*args, **more):
+        raise AssertionError("the items were sorted")
+
+    images = []
+    for units in (1, 7, 30):
+        c = rng.integers(-96, 160, (units * media.jpeg.MCU_BLOCKS, 64), np.int32) * (rng.random((units * media.jpeg.MCU_BLOCKS, 64)) < share)
+        images.append((1, units, c.astype(np.int32), b"x"))
+    monkeypatch.setattr(np, "argsort", refused)
+    files = media.jpeg.encode(images)
+    monkeypatch.undo()
+    for (_, _, c, _), own, info in zip(images, files, media.jpeg.decode(files), strict=True):
+        assert (info["coefficients"] == c).all() and media.jpeg.encode([(1, len(c) // media.jpeg.MCU_BLOCKS, c, b"x")])[0] == own
