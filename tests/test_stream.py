@@ -168,3 +168,12 @@ def test_info_and_array(spark):
     t = s.to_array()
     assert t["t"].to_pylist() == a["t"].tolist() and t.num_rows == 50
     assert s.map(lambda b: b.slice(0, 1)).df.count() <= 50 and s.apply(lambda d: d.where("on")).df.count() == int(a["on"].sum())
+
+
+def far_apart(spark):
+    """Times whose sum at a pixel takes more than 64 bits: half of the events at the first time, half at the last."""
+    return EventStream(spark.range(2000).selectExpr("id AS seq", "IF(id < 1000, 0L, 20000000000000000L) AS t", "1 AS x", "2 AS y", "true AS on"), 8, 6)
+
+
+def test_kinectograph_of_sums_beyond_64_bits(spark):
+    assert [tuple(r) for r in far_apart(spark).to_kinectograph().collect()] == [(1, 2, 0.5, 1.0)]
