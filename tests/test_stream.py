@@ -177,3 +177,11 @@ def far_apart(spark):
 
 def test_kinectograph_of_sums_beyond_64_bits(spark):
     assert [tuple(r) for r in far_apart(spark).to_kinectograph().collect()] == [(1, 2, 0.5, 1.0)]
+
+
+def test_kinectograph_image_of_sums_beyond_64_bits(spark):
+    from eventloom.operators import plots
+
+    steps = Colormap.from_rgb_table("steps", "sequential", np.repeat(np.arange(256)[:, None] / 255, 3, 1))
+    image = plots.kinectograph_image(far_apart(spark).to_kinectograph(), 8, 6, steps)
+    assert image[2, 1].tolist() == [128, 128, 128, 255] and image[..., 3].astype(int).sum() == 255
