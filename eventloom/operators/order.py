@@ -4,7 +4,8 @@ A global window would move all rows to one task. Instead rows are numbered
 within buckets of ``seq``; tables with one row for each bucket, and one for
 each ``WIDE`` buckets, carry what came before, and are joined back. Only the
 last of these, a row for some 270 million values of ``seq``, passes through one
-task. Buckets depend on values only, so a recomputed task gives the same
+task. Events lie in the order that a merge join takes, and are told to be
+joined so: where their size is estimated too low, Spark would broadcast them. Buckets depend on values only, so a recomputed task gives the same
 numbers.
 """
 
@@ -36,7 +37,7 @@ def with_ordinals(df: DataFrame, name: str = "ordinal", bucket: int = BUCKET) ->
     cut = df.withColumn("_bucket", F.floor(F.col("seq") / bucket))
     before = _so_far(cut.groupBy("_bucket").agg(F.count("*").alias("_n")), F.col("_n"), F.sum, "_before").drop("_n")
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("seq")) - 1
-    return cut.withColumn("_inside", inside).join(before, "_bucket").withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_inside")).select(*df.columns, name)
+    return cut.withColumn("_inside", inside).hint("merge").join(before, "_bucket").withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_inside")).select(*df.columns, name)
 
 
 def _marked(df: DataFrame, key: str, bucket: int) -> DataFrame:
@@ -55,7 +56,7 @@ def with_runs(df: DataFrame, key: str, name: str = "run", bucket: int = BUCKET)
     opens = F.when(F.col("_earlier").isNotNull() & F.col("_earlier._last").eqNullSafe(F.col("_first")), 0).otherwise(1)
     line = last.withColumn("_opens", opens).withColumn("_total", F.col("_inner") + F.col("_opens"))
     line = _so_far(line.select("_bucket", "_opens", "_total"), F.col("_total"), F.sum, "_before").select("_bucket", (F.coalesce("_before", F.lit(0)) + F.col("_opens")).alias("_base"))
-    return marked.join(line, "_bucket").withColumn(name, F.col("_base") + F.col("_inside")).select(*df.columns, name)
+    return marked.hint("merge").join(line, "_bucket").withColumn(name, F.col("_base") + F.col("_inside")).select(*df.columns, name)
 
 
 def with_run_lengths(df: DataFrame, key: str, length: str = "length", last: str = "last", bucket: int = BUCKET) -> DataFrame:
@@ -80,7 +81,7 @@ def with_run_lengths(df: DataFrame, key: str, length: str = "length", last: str
     total = total.join(F.broadcast(final)).select(F.explode("_at").alias("_at"), "_total", (F.col("_run") == F.col("_end")).alias("_ends"))
     place = F.floor(F.col("_at") / 3).alias("_bucket")
     sides = total.where("_at % 3 != 1").groupBy(place).agg(*[F.max(F.when(F.col("_at") % 3 == part, F.struct("_total", "_ends"))).alias(side) for part, side in ((0, "_a"), (2, "_z"))])
-    joined = counted.join(sides, "_bucket")
+    joined = counted.hint("merge").join(sides, "_bucket")
     found = F.when(F.col("_inside") == 0, F.col("_a")).when(F.col("_inside") == F.col("_final"), F.col("_z")).otherwise(F.struct(F.col("_n").alias("_total"), F.lit(False).alias("_ends")))
     return joined.withColumn("_found", found).select(*df.columns, F.col("_found._total").alias(length), F.col("_found._ends").alias(last))
 
@@ -90,4 +91,4 @@ def running_max(df: DataFrame, column: str, bucket: int = BUCKET) -> DataFrame:
     cut = df.withColumn("_bucket", F.floor(F.col("seq") / bucket))
     before = _so_far(cut.groupBy("_bucket").agg(F.max(column).alias("_top")), F.col("_top"), F.max, "_before").drop("_top")
     inside = F.max(column).over(Window.partitionBy("_bucket").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return cut.withColumn("_inside", inside).join(before, "_bucket").withColumn(column, F.greatest("_inside", "_before")).select(*df.columns)
+    return cut.withColumn("_inside", inside).hint("merge").join(before, "_bucket").withColumn(column, F.greatest("_inside", "_before")).select(*df.columns)

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from urllib.parse import urlparse
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.sources import files
+
 WIDTH, HEIGHT = 16, 12
 #: Of lineitem rows every column, so that the order is total.
 LINE_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
@@ -50,11 +47,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def workspace(spark: SparkSession, name: str) -> str:
     """A new folder for files that are written and read again: in ``spark.checkpoint.dir``, which executors share, or without it, in a local session, a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        return tempfile.mkdtemp(prefix=f"eventloom-{name}-")
-    folder = os.path.join(urlparse(shared).path, f"{name}-{uuid.uuid4().hex}")
-    os.makedirs(folder)
+    folder = files.scratch(spark, name)
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return folder

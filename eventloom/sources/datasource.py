@@ -18,7 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, Greater
 
 from eventloom.model import EVENT
 from eventloom.sources import codecs
-from eventloom.sources.files import RECORDS, _batch, decoded
+from eventloom.sources.files import RECORDS, batches_of, decoded
 
 PACKETS_PER_PARTITION = 256
 
@@ -77,8 +77,7 @@ class EventFileReader(DataSourceReader):
         schema = EVENT if self.kind == "events" else RECORDS[self.kind]
         if partition.packets is None:
             with open(partition.path, "rb") as f:
-                data = f.read()
-            yield from _batch(schema, decoded(self.type or codecs.detect(partition.path, data[:16]), data, (1280, 720), self.version, None, self.track, self.kind)[1])
+                yield from batches_of(schema, decoded(self.type, partition.path, f, (1280, 720), self.version, None, self.track, self.kind))
             return
         import pyarrow as pa
 

@@ -1,21 +1,31 @@
 """Recordings as event streams, and back.
 
 Readers go through Spark's own file sources, so any store that Spark reads
-will do. Byte formats are serial within a file, so each file is one task; CSV
-is read in parallel. Writers stream rows in arrival order through the driver
-into a temporary file that is then renamed.
+will do. Byte formats are serial within a file, so each file is one task, which
+decodes it block by block; CSV is read in parallel. Writers sort rows by arrival
+and encode them in the tasks, block by block, into files of a folder that all
+executors share; the driver joins these into a temporary file that is then
+renamed. No task or driver holds a file.
 """
 
 from __future__ import annotations
 
+import io
 import json
 import os
+import re
+import shutil
 import sys
+import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -98,61 +108,127 @@ def read_csv(spark: SparkSession, path: str, dimensions: tuple[int, int], t0: in
     return EventStream(parse_csv(lines, *dimensions, t0, properties), *dimensions)
 
 
+#: Rows of a batch that is read or encoded, a whole number of AEDAT packets; and bytes of a slice of a file.
+ROWS, SLICE = 1 << 16, 4 << 20
+
+
 def _batch(schema: str, columns: dict[str, np.ndarray], base: int = 0) -> Iterator[pa.RecordBatch]:
     kinds = {"long": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "boolean": pa.bool_(), "float": pa.float32(), "binary": pa.binary()}
     fields = [f.split() for f in schema.split(", ")]
     n = len(columns["t"])
-    for i in range(0, n, 1 << 16):
-        part = {k: v[i : i + (1 << 16)] for k, v in columns.items()}
-        part["seq"] = base + np.arange(i, min(n, i + (1 << 16)))
+    for i in range(0, n, ROWS):
+        part = {k: v[i : i + ROWS] for k, v in columns.items()}
+        part["seq"] = base + np.arange(i, min(n, i + ROWS))
         yield pa.RecordBatch.from_arrays([pa.array(part[k].tolist() if kind == "binary" else part[k], kinds[kind]) for k, kind in fields], [k for k, _ in fields])
 
 
-def decoded(file_type: str, data: bytes, dimensions, version, t0, track_id, kind: str) -> tuple[codecs.Header, codecs.Columns]:
-    """The records of one file; plain events of ATIS streams are those that aren't exposure marks, of DAT those of kind cd."""
-    if file_type == "dat":
-        h, c = codecs.decode_dat(data, dimensions, version or "2", t0)
-        if kind == "events" and h.kind != "cd":
-            raise ValueError(f"a DAT file of kind {h.kind} holds no events")
-        return h, c
-    if file_type == "evt":
-        h, events, triggers = codecs.decode_evt(data, dimensions, version or "3", t0)
-        return h, triggers if kind == "evt_triggers" else events
-    if file_type == "aedat":
-        return codecs.decode_aedat(data, track_id)
-    h, c = codecs.decode_es(data, t0 or 0)
-    if kind == "events" and h.kind == "atis":
-        plain = ~c["exposure"]
-        c = {"t": c["t"][plain], "x": c["x"][plain], "y": c["y"][plain], "on": c["polarity"][plain]}
-    elif kind == "events" and h.kind != "dvs":
-        raise ValueError(f"an Event Stream file of kind {h.kind} holds no events")
-    return h, c
+def decoded(file_type: str | None, name: str, f: BinaryIO, dimensions, version, t0, track_id, kind: str) -> Iterator[codecs.Columns]:
+    """The records of an open file block by block; plain events of ATIS streams are those that aren't exposure marks, of DAT those of kind cd."""
+    file_type = file_type or codecs.detect(name, f.peek(16)[:16])
+    h, found = codecs.parts(file_type, f, dimensions, version, t0, track_id, kind == "evt_triggers")
+    if kind == "events" and (file_type, h.kind) == ("es", "atis"):
+        for c in found:
+            plain = ~c["exposure"]
+            yield {"t": c["t"][plain], "x": c["x"][plain], "y": c["y"][plain], "on": c["polarity"][plain]}
+        return
+    if kind == "events" and (file_type == "dat" and h.kind != "cd" or file_type == "es" and h.kind != "dvs"):
+        raise ValueError(f"{'a DAT' if file_type == 'dat' else 'an Event Stream'} file of kind {h.kind} holds no events")
+    yield from found
+
+
+def batches_of(schema: str, found: Iterator[codecs.Columns], base: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows of ``schema`` with their ``seq``; small blocks are put together."""
+    held, rows = [], 0
+    for c in found:
+        held.append(c)
+        rows += len(c["t"])
+        if rows >= ROWS:
+            yield from _batch(schema, {k: np.concatenate([x[k] for x in held]) for k in c}, base)
+            base, held, rows = base + rows, [], 0
+    if rows:
+        yield from _batch(schema, {k: np.concatenate([x[k] for x in held]) for k in held[0]}, base)
+
+
+def local(path: str) -> str | None:
+    """The path to open where ``path`` is in the file system that driver and executors share, else None."""
+    return re.sub("^file:/*", "/", path) if path.startswith(("/", "file:/")) else None
+
+
+class _Slices(io.RawIOBase):
+    """A file to read, of its slices in order."""
+
+    def __init__(self, slices: Iterator[bytes]):
+        self.slices, self.rest = slices, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, out) -> int:
+        while not self.rest:
+            self.rest = next(self.slices, None)
+            if self.rest is None:
+                self.rest = b""
+                return 0
+        n = min(len(out), len(self.rest))
+        out[:n], self.rest = self.rest[:n], self.rest[n:]
+        return n
 
 
 def records(spark: SparkSession, path: str, kind: str = "events", *, file_type: str | None = None, track_id: int | None = None, dimensions_fallback=(1280, 720), version_fallback: str | None = None, t0: int | None = None) -> DataFrame:
     """The rows of one kind in a byte-format file, or in those of a folder one after the other: ``events`` or a key of ``RECORDS``."""
     schema = EVENT if kind == "events" else RECORDS[kind]
     ranks = {name: k for k, name in enumerate(paths_of(spark, path))}
+    read = spark.read.format("binaryFile").load(path)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(name: str, f: BinaryIO) -> Iterator[pa.RecordBatch]:
+        return batches_of(schema, decoded(file_type, name, f, dimensions_fallback, version_fallback, t0, track_id, kind), ranks[name] * PER_FILE)
+
+    def opened(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield from _batch(schema, decoded(file_type or codecs.detect(name, data[:16]), data, dimensions_fallback, version_fallback, t0, track_id, kind)[1], ranks[name] * PER_FILE)
+            for name in batch.column(0).to_pylist():
+                with open(local(name), "rb") as f:
+                    yield from rows(name, f)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+    if all(local(name) for name in ranks):
+        return read.select("path").mapInArrow(opened, schema)
 
+    def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task has the slices of a file one after the other."""
+        pieces = ((name, data or b"") for batch in batches for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        ahead = next(pieces, None)
+        while ahead:
 
-def header(spark: SparkSession, path: str, file_type: str | None = None, dimensions_fallback=(1280, 720), version_fallback: str | None = None, track_id: int | None = None) -> codecs.Header:
-    """The header alone: the first MB of the file reaches the driver, or as much as an AEDAT file's description takes."""
+            def own(name: str) -> Iterator[bytes]:
+                nonlocal ahead
+                while ahead and ahead[0] == name:
+                    data, ahead = ahead[1], next(pieces, None)
+                    yield data
+
+            name, left = ahead[0], own(ahead[0])
+            yield from rows(name, io.BufferedReader(_Slices(left), 1 << 16))
+            for _ in left:
+                pass
 
-    def first(size: int):
-        return spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, size).alias("content")).orderBy("path").first()
+    # Other stores are read by Spark, which gives a file as a whole; Python takes it in slices.
+    size = F.length("content")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / SLICE).cast("int")), lambda i: F.substring(F.col("content"), i * SLICE + 1, F.lit(SLICE)))
+    return read.select("path", F.explode_outer(F.when(size > 0, cut)).alias("slice")).mapInArrow(sliced, schema)
 
-    row = first(1 << 20)
-    kind = file_type or codecs.detect(row.path, bytes(row.content[:16]))
-    if kind == "aedat" and codecs.aedat_head_size(bytes(row.content)) > len(row.content):
-        row = first(codecs.aedat_head_size(bytes(row.content)))
-    data = bytes(row.content)
+
+def header(spark: SparkSession, path: str, file_type: str | None = None, dimensions_fallback=(1280, 720), version_fallback: str | None = None, track_id: int | None = None) -> codecs.Header:
+    """The header alone: the first MB of the file reaches the driver, or as much as an AEDAT file's description takes."""
+    name = paths_of(spark, path)[0]
+
+    def first(size: int) -> bytes:
+        if local(name):
+            with open(local(name), "rb") as f:
+                return f.read(size)
+        return bytes(spark.read.format("binaryFile").load(name).select(F.substring("content", 1, size)).first()[0])
+
+    data = first(1 << 20)
+    kind = file_type or codecs.detect(name, data[:16])
+    if kind == "aedat" and codecs.aedat_head_size(data) > len(data):
+        data = first(codecs.aedat_head_size(data))
     if kind in ("dat", "evt"):
         return codecs.percent_header(data, dimensions_fallback, version_fallback)
     if kind == "es":
@@ -172,9 +248,18 @@ def events_stream_from_file(spark: SparkSession, path: str, *, track_id: int | N
 
 
 def events_stream_from_stdin(spark: SparkSession, dimensions: tuple[int, int], t0: int = 0, csv_properties: CsvProperties = CsvProperties(), lines: Iterable[str] | None = None) -> EventStream:
-    """CSV from standard input, read on the driver."""
-    rows = list(enumerate(x.rstrip("\r\n") for x in (sys.stdin if lines is None else lines)))[int(csv_properties.has_header) :]
-    return EventStream(parse_csv(spark.createDataFrame(rows, "seq long, value string"), *dimensions, t0, csv_properties), *dimensions)
+    """CSV from standard input, which the driver copies block by block to a file that executors share."""
+    folder = scratch(spark, "stdin")
+    lines = sys.stdin if lines is None else lines
+    if not folder:  # no file that all see, so the driver keeps the lines
+        rows = list(enumerate(x.rstrip("\r\n") for x in lines))[int(csv_properties.has_header) :]
+        return EventStream(parse_csv(spark.createDataFrame(rows, "seq long, value string"), *dimensions, t0, csv_properties), *dimensions)
+    with open(f"{folder}/in.csv", "w", newline="", encoding="utf-8", errors="surrogateescape") as f:
+        if isinstance(lines, io.TextIOBase):
+            shutil.copyfileobj(lines, f, 1 << 20)
+        else:
+            f.writelines(x.rstrip("\r\n") + "\n" for x in lines)
+    return read_csv(spark, f"file://{folder}/in.csv", dimensions, t0, csv_properties)
 
 
 def cached_time_range(stream: EventStream, path: str, cache: str, **options) -> tuple[int, int]:
@@ -196,28 +281,131 @@ def cached_time_range(stream: EventStream, path: str, cache: str, **options) ->
 # -- writing
 
 
-def _columns(df: DataFrame) -> codecs.Columns:
-    table = df.orderBy("seq").select("t", "x", "y", "on").toArrow()
-    return {k: table[k].to_numpy() for k in ("t", "x", "y", "on")}
+def scratch(spark: SparkSession, name: str) -> str | None:
+    """A new folder that driver and executors share: in ``spark.checkpoint.dir``, or without it, in a local session, a temporary one; None where there is none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared and urlparse(shared).scheme in ("", "file"):
+        folder = os.path.join(urlparse(shared).path, f"{name}-{uuid.uuid4().hex}")
+        os.makedirs(folder)
+        return folder
+    return tempfile.mkdtemp(prefix=f"eventloom-{name}-") if spark.sparkContext.master.startswith("local") else None
 
 
 def csv_lines(stream: EventStream, separator: str = ",", with_header: bool = True) -> Iterator[str]:
     if with_header:
-        yield separator.join(("t", f"x@{stream.width}", f"y@{stream.height}", "on")) + "\r\n"
-    line = F.concat_ws(separator, "t", "x", "y", F.col("on").cast("int")).alias("line")
-    for row in stream.df.orderBy("seq").select(line).toLocalIterator(prefetchPartitions=True):
+        yield _csv_head(stream, separator)
+    for row in stream.df.orderBy("seq").select(_csv_line(separator)).toLocalIterator(prefetchPartitions=True):
         yield row.line + "\r\n"
 
 
-def _checked(lines: Iterator[str], separator: str, with_header: bool) -> Iterator[str]:
-    last = -1
-    for i, line in enumerate(lines):
-        if i or not with_header:
-            t = int(line.split(separator, 1)[0])
-            if t < last:
-                raise ValueError("times must not decrease")
-            last = t
-        yield line
+def _csv_head(stream: EventStream, separator: str) -> str:
+    return separator.join(("t", f"x@{stream.width}", f"y@{stream.height}", "on")) + "\r\n"
+
+
+def _csv_line(separator: str):
+    return F.concat_ws(separator, "t", "x", "y", F.col("on").cast("int")).alias("line")
+
+
+#: What a task says of the run that it wrote: its place, file (or its bytes, without a shared folder), first event, last time and index, or what is wrong.
+RUN = "part int, path string, size long, data binary, t long, x int, y int, on boolean, last long, index binary, wrong string"
+
+
+def _lines(columns: dict[str, pa.Array], ordered: bool, before: int | None) -> bytes:
+    """The bytes of CSV lines, whose times must not decrease if ``ordered``."""
+    if ordered and len(columns["t"]):
+        t = columns["t"].to_numpy(zero_copy_only=False)
+        if columns["t"].null_count or (np.diff(t) < 0).any() or before is not None and t[0] < before:
+            raise ValueError("times must not decrease")
+    ended = pc.binary_join_element_wise(columns["line"].cast(pa.large_string()), pa.scalar("", pa.large_string()), pa.scalar("\r\n", pa.large_string()))
+    offsets = np.frombuffer(ended.buffers()[1], np.int64)[ended.offset : ended.offset + len(ended) + 1]
+    return memoryview(ended.buffers()[2])[offsets[0] : offsets[-1]] if len(ended) else b""
+
+
+def _run_of(batches: Iterable[pa.RecordBatch], out: BinaryIO, writer: codecs.Writer | None, t0: int, ordered: bool) -> dict:
+    """Writes a task's events to ``out``. If a run's bytes depend on the time before, its first event is left to the driver, which knows it."""
+    first = last = None
+    index, at, held, rows = [], 0, [], 0
+
+    def flush(n: int) -> None:
+        nonlocal first, last, at, held, rows
+        table = pa.Table.from_batches(held)
+        head, rest = table.slice(0, n), table.slice(n)
+        held, rows = rest.to_batches(), rest.num_rows
+        if writer is None:
+            columns = {k: head[k].combine_chunks() for k in head.column_names}
+            data, first = _lines(columns, ordered, last), head["t"][0].as_py() if first is None else first
+            last = head["t"][-1].as_py()
+        else:
+            c = {k: head[k].to_numpy() for k in ("t", "x", "y", "on")}
+            c["t"] = c["t"].astype(np.int64) - t0
+            if first is None:
+                first = {k: c[k][0].item() for k in c}
+                if writer.chained:
+                    c, last = {k: v[1:] for k, v in c.items()}, first["t"]
+                    writer.body({k: np.array([v]) for k, v in first.items()} | {"t": np.zeros(1, np.int64)})  # is it on the sensor?
+            data, own = writer.body(c, last)
+            index.append(own + np.array([at, 0, 0, 0, 0]))
+            last = int(c["t"][-1]) if len(c["t"]) else last
+        out.write(data)
+        at += len(data)
+
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        while rows >= ROWS:
+            flush(ROWS)
+    if rows:
+        flush(rows)
+    first = {"t": first} if writer is None else first or {"t": None}
+    return first | {"size": at, "last": last, "index": np.concatenate(index).tobytes() if index else b""}
+
+
+def _runs(stream: EventStream, folder: str | None, writer: codecs.Writer | None, t0: int, separator: str, ordered: bool) -> Iterator:
+    """The runs of a stream in order, each encoded by a task."""
+    from pyspark import TaskContext
+
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        row = dict.fromkeys(f.split()[0] for f in RUN.split(", ")) | {"part": task.partitionId()}
+        try:
+            if folder:
+                row["path"] = f"{folder}/{task.partitionId()}-{task.taskAttemptId()}"
+                with open(row["path"], "wb") as out:
+                    row |= _run_of(batches, out, writer, t0, ordered)
+            else:
+                out = io.BytesIO()
+                row |= _run_of(batches, out, writer, t0, ordered)
+                row["data"] = out.getvalue()
+        except ValueError as wrong:
+            row["wrong"] = str(wrong)
+        yield from pa.Table.from_pylist([row], kinds).to_batches()
+
+    kinds = pa.schema([("part", pa.int32()), ("path", pa.string()), ("size", pa.int64()), ("data", pa.binary()), ("t", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("on", pa.bool_()), ("last", pa.int64()), ("index", pa.binary()), ("wrong", pa.string())])
+    columns = ["t", "x", "y", "on"] if writer else ["t", _csv_line(separator)]
+    runs = stream.df.orderBy("seq").select(*columns).mapInArrow(encode, RUN)
+    return sorted(runs.collect(), key=lambda r: r.part) if folder else runs.toLocalIterator(prefetchPartitions=True)
+
+
+def _join(runs: Iterable, out: BinaryIO, writer: codecs.Writer | None, ordered: bool) -> np.ndarray:
+    """Writes the runs one after the other, and gives the index of all packets."""
+    at, last, index = out.tell(), None, [np.empty((0, 5), np.int64)]
+    for r in runs:
+        if r.wrong:
+            raise ValueError(r.wrong)
+        if r.t is None and not r.size:
+            continue
+        if ordered and last is not None and r.t < last:
+            raise ValueError("times must not decrease")
+        if writer and writer.chained:
+            out.write(writer.body({k: np.array([r[k]]) for k in ("t", "x", "y", "on")}, last)[0])
+        index.append(np.frombuffer(bytes(r["index"]), np.int64).reshape(-1, 5) + np.array([out.tell() - at, 0, 0, 0, 0]))
+        if r.path:
+            with open(r.path, "rb") as f:
+                shutil.copyfileobj(f, out, 1 << 20)
+        else:
+            out.write(r.data)
+        last = r.last
+    return np.concatenate(index)
 
 
 def write(stream: EventStream, path: str, *, version: str | None = None, zero_t0: bool = True, compression: tuple[str, int] | None = ("zstd", 1), csv_separator: str = ",", csv_header: bool = True, file_type: str | None = None, enforce_monotonic_timestamps: bool = True, on_progress=None) -> str:
@@ -226,27 +414,32 @@ def write(stream: EventStream, path: str, *, version: str | None = None, zero_t0
     tell = on_progress or (lambda *_: None)
     tell("start", path)
     temporary = f"{path}.write"
-    t0 = 0
-    if kind == "csv":
-        lines = csv_lines(stream, csv_separator, csv_header)
-        with open(temporary, "w", newline="") as f:
-            f.writelines(_checked(lines, csv_separator, csv_header) if enforce_monotonic_timestamps else lines)
-    else:
-        c = _columns(stream.df)
+    t0, ordered, writer = 0, enforce_monotonic_timestamps or kind != "csv", None
+    if kind != "csv":
         if not enforce_monotonic_timestamps:
             if kind == "aedat":
                 raise ValueError("AEDAT files hold no decreasing times")
-            c["t"] = codecs.running(c["t"])
-        if kind == "dat":
-            data, t0 = codecs.encode_dat(c, stream.width, stream.height, (version or "2").removeprefix("dat"), zero_t0)
-        elif kind == "es":
-            data, t0 = codecs.encode_es(c, stream.width, stream.height, "dvs", zero_t0)
-        elif kind == "evt":
-            data, t0 = codecs.encode_evt(c, stream.width, stream.height, (version or "3").removeprefix("evt"), zero_t0)
-        else:
-            data, t0 = codecs.encode_aedat(c, stream.width, stream.height, compression)
+            stream = stream.apply(lambda df: running_max(df, "t"))
+        version = (version or {"dat": "2", "evt": "3"}.get(kind, "")).removeprefix(kind)
+        writer = codecs.Writer(kind, stream.width, stream.height, version, compression if kind == "aedat" else None)
+        if kind != "aedat" and zero_t0:
+            t0 = stream.df.agg(F.min_by("t", "seq")).first()[0] or 0
+        head = writer.head(t0, 0)
+    else:
+        head = _csv_head(stream, csv_separator).encode() if csv_header else b""
+    folder = scratch(stream.df.sparkSession, "write")
+    try:
         with open(temporary, "wb") as f:
-            f.write(data)
-    os.replace(temporary, path)
+            f.write(head)
+            index = _join(_runs(stream, folder, writer, t0, csv_separator, ordered), f, writer, ordered)
+            if writer:
+                end = f.tell()
+                f.write(writer.tail(index, len(head)))
+                f.seek(0)
+                f.write(writer.head(t0, end - len(head)))
+        os.replace(temporary, path)
+    finally:
+        if folder:
+            shutil.rmtree(folder, ignore_errors=True)
     tell("end", path)
     return to_timecode(t0)

@@ -130,3 +130,62 @@ def test_encoders_write_the_bytes():
     start = C.aedat_header(data).more["start"]
     size = int.from_bytes(data[start + 4 : start + 8], "little")
     assert data[start + 8 : start + 12] == b"\x04\x22\x4d\x18" and data[start + 4 + 4 + size - 4 : start + 8 + size] == bytes(4)
+
+
+def in_runs(kind, version, c, length=700):
+    """A file of runs that know only the time before them."""
+    w = C.Writer(kind, 64, 48, version, ("zstd", 1) if kind == "aedat" else None)
+    bodies, index, before, at = [], [], None, 0
+    for i in range(0, len(c["t"]), length):
+        run = {k: v[i : i + length] for k, v in c.items()}
+        body, own = w.body(run, before)
+        bodies.append(body)
+        index.append(own + np.array([at, 0, 0, 0, 0]))
+        at, before = at + len(body), int(run["t"][-1])
+    head = w.head(0, at)
+    return head + b"".join(bodies) + w.tail(np.concatenate(index), len(head))
+
+
+@pytest.mark.parametrize(("kind", "version", "step"), [("dat", "2", 4_000_000), ("evt", "2", 4_000_000), ("evt", "2", 3), ("evt", "3", 90_000), ("evt", "3", 2), ("es", "", 300), ("aedat", "", 400)])
+def test_files_in_runs_and_blocks(monkeypatch, kind, version, step):
+    import io
+
+    c = events(step=step)
+    c["t"] -= 1_000_000
+    data = in_runs(kind, version, c)
+    whole = {"dat": lambda: C.decode_dat(data)[1], "evt": lambda: C.decode_evt(data)[1], "es": lambda: C.decode_es(data)[1], "aedat": lambda: C.decode_aedat(data)[1]}[kind]()
+    same(c, whole)
+    monkeypatch.setattr(C, "BLOCK", 67)
+    found = list(C.parts(kind, io.BytesIO(data))[1])
+    assert len(found) > 5
+    same(c, {k: np.concatenate([f[k] for f in found]) for k in ("t", "x", "y", "on")})
+    if kind == "aedat":
+        assert sum(r[3] for r in C.aedat_index(data)) == 5000 and {r[3] for r in C.aedat_index(data)} == {700, 100}
+    with pytest.raises(ValueError, match="decrease"):
+        C.Writer(kind, 64, 48, version).body(c, int(c["t"][0]) + 1)
+
+
+def test_runs_that_dat_cannot_chain():
+    late = {"t": np.array([1 << 33]), "x": np.zeros(1, np.int32), "y": np.zeros(1, np.int32), "on": np.ones(1, bool)}
+    with pytest.raises(ValueError, match="turns"):
+        C.Writer("dat", 4, 4, "2").body(late, 5)
+
+
+def peak_mb(f):
+    import tracemalloc
+
+    tracemalloc.start()
+    f()
+    mb = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return mb
+
+
+@pytest.mark.parametrize(("kind", "version"), [("evt", "2"), ("evt", "3"), ("es", ""), ("aedat", "")])
+def test_blocks_bound_memory(kind, version):
+    """Three times the events take no more memory."""
+    import io
+
+    files = [io.BytesIO(in_runs(kind, version, events(n, step=90), 65_536)) for n in (400_000, 1_200_000)]
+    one, three = (peak_mb(lambda f=f: [None for _ in C.parts(kind, f)[1]]) for f in files)
+    assert three < 1.2 * one

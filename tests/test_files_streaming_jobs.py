@@ -236,3 +236,92 @@ def test_pictures(spark):
     image = plots.kinectograph_image(s.to_kinectograph(), 40, 30, catalogue()["ink_2"], "#000000", 2)
     assert image.shape == (60, 80, 4) and (image[..., 3] == 255).all() and image[..., :3].any()
     assert plots.axis_range(np.array([0.0, 37.0]), False) == (0.0, 40.0) and plots.axis_range(np.array([0.0, 5.0, 300.0]), True) == (1.0, 1000.0)
+
+
+NAMES = ["a.csv", "a.dat", "a.es", "2.evt", "3.evt", "a.aedat4"]
+
+
+@pytest.fixture
+def in_tasks(spark, monkeypatch):
+    """Events that reach the driver are an error, and runs aren't put together."""
+    from pyspark.sql import DataFrame
+
+    def no(*_, **__):
+        raise AssertionError("events reach the driver")
+
+    monkeypatch.setattr(type(spark.range(0)), "toArrow", no)
+    monkeypatch.setattr(files, "csv_lines", no)
+    monkeypatch.setattr(DataFrame, "toArrow", no)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("zero_t0", [False, True])
+def test_files_are_written_by_tasks(spark, tmp_path, in_tasks, name, zero_t0):
+    a = recording(2000)
+    s = events_stream_from_array(spark, a, (40, 30))
+    path = str(tmp_path / name)
+    s.to_file(path, version=name[0] if name.endswith("evt") else None, zero_t0=zero_t0)
+    back = files.events_stream_from_file(spark, path, dimensions_fallback=(40, 30), t0=int(a["t"][0]) if zero_t0 and name == "a.es" else None)
+    assert rows(back) == [tuple(r) for r in a.tolist()]
+    if name in ("a.csv", "a.aedat4"):
+        return
+    assert rows(files.events_stream_from_file(spark, path, dimensions_fallback=(40, 30), t0=0))[0][0] == (0 if zero_t0 else a["t"][0])
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_times_that_decrease_between_runs(spark, tmp_path, in_tasks, name):
+    a = recording(2000)
+    a["t"][1000:] -= 1000  # each half is in order
+    s = EventStream(events_stream_from_array(spark, a, (40, 30)).df, 40, 30)
+    with pytest.raises(ValueError, match="decrease"):
+        s.to_file(str(tmp_path / name))
+    assert not (tmp_path / name).exists()
+    if name != "a.aedat4":
+        s.to_file(str(tmp_path / name), zero_t0=False, enforce_monotonic_timestamps=False)
+        back = files.events_stream_from_file(spark, str(tmp_path / name), dimensions_fallback=(40, 30))
+        assert [r[0] for r in rows(back)] == np.maximum.accumulate(a["t"]).tolist()
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_without_a_shared_folder(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(files, "scratch", lambda *_: None)
+    a = recording()
+    events_stream_from_array(spark, a, (40, 30)).to_file(str(tmp_path / name), zero_t0=False)
+    assert rows(files.events_stream_from_file(spark, str(tmp_path / name), dimensions_fallback=(40, 30))) == [tuple(r) for r in a.tolist()]
+
+
+def test_files_in_a_store_that_only_spark_reads(spark, tmp_path, monkeypatch):
+    a = recording(3000)
+    s = events_stream_from_array(spark, a, (40, 30))
+    for name in ("1.dat", "2.dat"):
+        s.to_file(str(tmp_path / name))
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.other.link./in", f"file://{tmp_path}")
+    monkeypatch.setattr(files, "SLICE", 1000)
+    got = files.records(spark, "viewfs://other/in/*.dat", file_type="dat").orderBy("seq").select("t", "x", "y", "on").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in a.tolist()] * 2
+    assert files.header(spark, "viewfs://other/in/1.dat").width == 40
+
+
+def test_events_are_not_broadcast(spark, tmp_path):
+    """A file of few bytes holds many events, so its size says little."""
+    a = recording()
+    events_stream_from_array(spark, a, (40, 30)).to_file(str(tmp_path / "a.raw"))
+    s = files.events_stream_from_file(spark, str(tmp_path / "a.raw"))
+    from eventloom.operators import order
+
+    for df in (order.with_ordinals(s.df, "i"), order.running_max(s.df, "t"), order.with_runs(s.df, "y"), order.with_run_lengths(s.df, "y")):
+        df.count()
+        assert "SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stdin_is_copied_in_blocks(spark, tmp_path):
+    (tmp_path / "in.csv").write_bytes(b"t,x,y,on\r\n5,1,2,1\r\n\r\n7,3,4,0\n8,3,4,1")
+    with open(tmp_path / "in.csv") as f:
+        s = files.events_stream_from_stdin(spark, (10, 10), 100, lines=f)
+        assert f.read() == ""
+    assert rows(s) == [(105, 1, 2, True), (107, 3, 4, False), (108, 3, 4, True)]
+    assert "ExistingRDD" not in s.df._jdf.queryExecution().executedPlan().toString() and "FileScan text" in s.df._jdf.queryExecution().executedPlan().toString()
+    assert rows(files.events_stream_from_stdin(spark, (10, 10), lines=[])) == []
