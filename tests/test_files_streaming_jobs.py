@@ -325,3 +325,51 @@ def test_stdin_is_copied_in_blocks(spark, tmp_path):
     assert rows(s) == [(105, 1, 2, True), (107, 3, 4, False), (108, 3, 4, True)]
     assert "ExistingRDD" not in s.df._jdf.queryExecution().executedPlan().toString() and "FileScan text" in s.df._jdf.queryExecution().executedPlan().toString()
     assert rows(files.events_stream_from_stdin(spark, (10, 10), lines=[])) == []
+
+
+@pytest.mark.parametrize("form", list(packets.FORMATS))
+def test_packets_are_taken_as_one_by_one(spark, tmp_path, monkeypatch, form):
+    """Empty, late and disordered packets and turns, in two streams and through the plain rule packet by packet."""
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(packets, "TOGETHER", 50)
+    data, want = [], []
+    for stream in "ab":
+        t, last, offset, count = 0, -1, 0, 0
+        for k in range(60):
+            t += int(rng.integers(0, 1 << 30))
+            own = np.maximum(0, t - int(rng.integers(0, 1 << 29)) * (k % 5 == 3) + rng.integers(-50, 1 << 30, int(rng.integers(0, 5))))
+            d = packets.encode(own, own % 7, own % 5, own % 2 == 0, form)
+            data.append((stream, k, d))
+            e, last, offset = packets.accept(packets.decode(d, form), form, last, offset)
+            if e is not None:
+                want += [(stream, k, count + i, *r) for i, r in enumerate(e[["t", "x", "y", "on"]].itertuples(index=False, name=None))]
+                count += len(e)
+    spark.createDataFrame(data, "stream string, packet long, data binary").write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema("stream string, packet long, data binary").parquet(str(tmp_path / "in"))
+    (tmp_path / "out").mkdir()
+    packets.accepted_events(live, form).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination(60)
+    got = spark.read.schema(packets.OUT).parquet(str(tmp_path / "out")).orderBy("stream", "seq").collect()
+    assert [tuple(r) for r in got] == want and 60 < len(want) < sum(len(d) for _, _, d in data) // packets.FORMATS[form].itemsize
+
+
+def test_packing(spark):
+    df = spark.range(1000).selectExpr("id AS seq", "id DIV 300 AS packet", "id * 10 AS t", "CAST(id % 9 AS INT) AS x", "1 AS y", "id % 2 = 0 AS on")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        whole, cut = (packets.packed(df, "t64_x16_y16_on8", most=most).orderBy("packet").collect() for most in (packets.CUTS, 128))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r.packet, len(r.data) // 13) for r in whole] == [(0, 300), (1, 300), (2, 300), (3, 100)]
+    assert [(r.packet, len(r.data) // 13) for r in cut] == [(k * packets.CUTS + i, n) for k in range(4) for i, n in enumerate((128, 128, 44) if k < 3 else (100,))]
+    for rows_ in (whole, cut):
+        assert packets.decode(b"".join(bytes(r.data) for r in rows_), "t64_x16_y16_on8")["t"].tolist() == list(range(0, 10_000, 10))
+
+
+def test_live_events_do_not_reach_the_driver(spark, monkeypatch):
+    from eventloom.plans import recordings
+
+    monkeypatch.setattr(spark, "table", lambda *_: pytest.fail("a sink in memory"))
+    form = "t64_x16_y16_on8"
+    rows_ = spark.createDataFrame([("a", 0, packets.encode(np.array([3]), np.array([1]), np.array([2]), np.array([True]), form))], "stream string, packet long, data binary")
+    for frame, n in ((rows_, 1), (rows_.where("false"), 0)):
+        assert recordings._streamed(spark, frame, "stream string, packet long, data binary", lambda live: packets.accepted_events(live, form), "append").count() == n
