@@ -373,3 +373,15 @@ def test_live_events_do_not_reach_the_driver(spark, monkeypatch):
     rows_ = spark.createDataFrame([("a", 0, packets.encode(np.array([3]), np.array([1]), np.array([2]), np.array([True]), form))], "stream string, packet long, data binary")
     for frame, n in ((rows_, 1), (rows_.where("false"), 0)):
         assert recordings._streamed(spark, frame, "stream string, packet long, data binary", lambda live: packets.accepted_events(live, form), "append").count() == n
+
+
+def test_wrapped_times_come_in_many_packets(spark, monkeypatch):
+    from eventloom.plans import recordings
+
+    seen = []
+    monkeypatch.setattr(recordings, "PACKET", 16)
+    streamed = recordings._streamed
+    monkeypatch.setattr(recordings, "_streamed", lambda spark, rows_, *more: seen.append(rows_) or streamed(spark, rows_, *more))
+    found = recordings.wrapped_times(spark, "/root/testdata/sf0.001")
+    sizes = [len(r.data) // 8 for r in seen[0].collect()]
+    assert max(sizes) <= 16 and len(sizes) >= 1000 // 16 and found.count() == 1000
