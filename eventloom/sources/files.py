@@ -26,7 +26,7 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -68,18 +68,23 @@ class CsvProperties:
 def parse_csv(rows: DataFrame, width: int, height: int, t0: int = 0, properties: CsvProperties = CsvProperties()) -> DataFrame:
     """Events from (seq, value) lines. A bad line is an error, or left out with ``skip_errors``; times are clamped to their running maximum."""
     p = properties
-    cell = lambda i: F.btrim(F.get(F.split("value", "\\Q" + p.separator + "\\E", -1), F.lit(i)), F.lit(" \t\r\n"))
-    t = cell(p.t_index).try_cast("long") if p.t_scale == 0 else F.round(cell(p.t_index).try_cast("double") * p.t_scale, 0).cast("long")
-    on = F.when(cell(p.on_index) == p.on_value, True).when(cell(p.on_index) == p.off_value, False)
-    x, y = cell(p.x_index).try_cast("int"), cell(p.y_index).try_cast("int")
-    out = rows.where(F.btrim("value", F.lit(" \t\r\n")) != "").select("seq", "value", (t + t0).alias("t"), x.alias("x"), y.alias("y"), on.alias("on"))
-    good = F.col("t").isNotNull() & F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1) & F.col("on").isNotNull()
-    good = F.coalesce(good, F.lit(False))
-    if p.skip_errors:
-        out = out.where(good)
-    else:
-        out = out.where(F.when(good, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not an event: "), F.col("value"))).cast("boolean")))  # a filter, which no unused column prunes
-    return running_max(out.drop("value"), "t").select("seq", "t", "x", "y", "on")
+    # Java splits at one character without compiling a pattern.
+    at = "\\" + p.separator if len(p.separator) == 1 and not p.separator.isalnum() else "\\Q" + p.separator + "\\E"
+
+    def event(cells: Column) -> Column:
+        cell = lambda i: F.btrim(F.get(cells, F.lit(i)), F.lit(" \t\r\n"))
+        t = cell(p.t_index).try_cast("long") if p.t_scale == 0 else F.round(cell(p.t_index).try_cast("double") * p.t_scale, 0).cast("long")
+        on = F.when(cell(p.on_index) == p.on_value, True).when(cell(p.on_index) == p.off_value, False)
+        return F.struct((t + t0).alias("t"), cell(p.x_index).try_cast("int").alias("x"), cell(p.y_index).try_cast("int").alias("y"), on.alias("on"))
+
+    def kept(e: Column) -> Column:
+        good = F.coalesce(e.t.isNotNull() & e.x.between(0, width - 1) & e.y.between(0, height - 1) & e.on.isNotNull(), F.lit(False))
+        return good if p.skip_errors else F.when(good, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not an event: "), F.col("value"))).cast("boolean"))
+
+    # A filter of columns would be pushed below them, and split the line anew for each; a variable of an array's function is made once.
+    found = F.filter(F.transform(F.array(F.split("value", at, -1)), event), kept)
+    out = rows.where(F.btrim("value", F.lit(" \t\r\n")) != "").select("seq", F.inline(found))
+    return running_max(out, "t").select("seq", "t", "x", "y", "on")
 
 
 #: Events of the file of rank k, by path, are numbered from k times this.

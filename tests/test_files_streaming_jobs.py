@@ -385,3 +385,9 @@ def test_wrapped_times_come_in_many_packets(spark, monkeypatch):
     found = recordings.wrapped_times(spark, "/root/testdata/sf0.001")
     sizes = [len(r.data) // 8 for r in seen[0].collect()]
     assert max(sizes) <= 16 and len(sizes) >= 1000 // 16 and found.count() == 1000
+
+
+def test_lines_are_split_once(spark):
+    lines = spark.createDataFrame([(0, "5,1,2,1")], "seq long, value string")
+    plan = files.parse_csv(lines, 10, 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == plan.count("inline(")  # once for the rows, once for the buckets' maxima
