@@ -67,9 +67,13 @@ def with_run_lengths(df: DataFrame, key: str, length: str = "length", last: str
     three rows for each.
     """
     marked = _marked(df, key, bucket)
-    run = Window.partitionBy("_bucket", "_inside")
-    whole = Window.partitionBy("_bucket")
-    counted = marked.withColumns({"_n": F.count("*").over(run), "_final": F.max("_inside").over(whole)})
+    # A run's length is the way from its start to the next one's, found in the order that the rows have already: a window by run would sort them
+    # again while they are still held. The bucket's last run has no next one.
+    order, start = Window.partitionBy("_bucket").orderBy("seq"), "PARTITION BY _bucket ORDER BY seq"
+    first = F.when(F.coalesce(F.lag("_inside").over(order) != F.col("_inside"), F.lit(True)), F.row_number().over(order))
+    counted = marked.withColumn("_first", first)
+    counted = counted.withColumn("_own", F.last("_first", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    counted = counted.withColumn("_next", F.expr(f"lead(_first, 1) IGNORE NULLS OVER ({start})"))
     edge = marked.groupBy("_bucket", "_inside").agg(F.count("*").alias("n"), F.first(key).alias("k"))
     edge = edge.groupBy("_bucket").agg(F.min(F.struct("_inside", "k", "n")).alias("a"), F.max(F.struct("_inside", "k", "n")).alias("z"))
     one = lambda e, part: F.struct((F.col("_bucket") * 3 + part).alias("seq"), F.col(f"{e}.k").cast("int").alias("k"), F.col(f"{e}.n").alias("n"))
@@ -82,7 +86,7 @@ def with_run_lengths(df: DataFrame, key: str, length: str = "length", last: str
     place = F.floor(F.col("_at") / 3).alias("_bucket")
     sides = total.where("_at % 3 != 1").groupBy(place).agg(*[F.max(F.when(F.col("_at") % 3 == part, F.struct("_total", "_ends"))).alias(side) for part, side in ((0, "_a"), (2, "_z"))])
     joined = counted.hint("merge").join(sides, "_bucket")
-    found = F.when(F.col("_inside") == 0, F.col("_a")).when(F.col("_inside") == F.col("_final"), F.col("_z")).otherwise(F.struct(F.col("_n").alias("_total"), F.lit(False).alias("_ends")))
+    found = F.when(F.col("_inside") == 0, F.col("_a")).when(F.col("_next").isNull(), F.col("_z")).otherwise(F.struct((F.col("_next") - F.col("_own")).cast("long").alias("_total"), F.lit(False).alias("_ends")))
     return joined.withColumn("_found", found).select(*df.columns, F.col("_found._total").alias(length), F.col("_found._ends").alias(last))
 
 

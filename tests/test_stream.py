@@ -185,3 +185,10 @@ def test_kinectograph_image_of_sums_beyond_64_bits(spark):
     steps = Colormap.from_rgb_table("steps", "sequential", np.repeat(np.arange(256)[:, None] / 255, 3, 1))
     image = plots.kinectograph_image(far_apart(spark).to_kinectograph(), 8, 6, steps)
     assert image[2, 1].tolist() == [128, 128, 128, 255] and image[..., 3].astype(int).sum() == 255
+
+
+def test_run_lengths_sort_rows_once(spark):
+    import re
+
+    df = order.with_run_lengths(spark.range(1000).selectExpr("id AS seq", "CAST(id DIV 7 % 5 AS INT) AS y"), "y")
+    assert not re.search(r"Sort \[_bucket#\w+ ASC NULLS FIRST, _inside", df._jdf.queryExecution().executedPlan().toString())
